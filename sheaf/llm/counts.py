@@ -15,6 +15,7 @@ ordinary text, as the library has it; repeated rows are counted each; extra colu
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,8 @@ CHUNK = 1 << 15
 OVERLAP = 256
 LIMIT = 4096
 MARK = "▁"
-STABLE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+#: A space between two visible characters, neither of them the space mark itself (bytes e2 96 81).
+STABLE = re.compile(rb"(?<=[^\s])(?<!\xe2\x96\x81) (?=[^\s])(?!\xe2\x96\x81)")
 
 
 def default_model() -> str:
@@ -37,24 +39,26 @@ def default_model() -> str:
 
 
 class Counter:
+    """Counts by one model. Chunk and overlap are in UTF-8 bytes, as the library's offsets are."""
+
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.chunk, self.overlap = chunk, min(overlap, chunk // 2)
+        self.chunk, self.overlap = chunk, max(2, min(overlap, chunk // 2))
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.splits = all(MARK not in p[1:] or not p.strip(MARK) for p in pieces)
 
     def whole(self, text: str) -> int:
         return len(self.library.encode(text, num_threads=1))
 
-    def _boundaries(self, text: str, prefixed: bool) -> list[int]:
-        """Start of every token in a chunk; a chunk inside a text begins at a stable space.
+    def _starts(self, chunk: bytes, opens_text: bool) -> list[int]:
+        """Byte offset of every token in a chunk. One inside a text begins at a stable space.
 
-        Its dummy prefix would double that space, so the space itself is left to the library's prefix.
+        The library's prefix would double that space, so it is left to the prefix.
         """
-        found = self.library.encode(text if prefixed else text[1:], out_type="immutable_proto", num_threads=1)
-        shift = 0 if prefixed else 1
+        shift = 0 if opens_text else 1
+        found = self.library.encode(chunk[shift:].decode(), return_type="proto", num_threads=1)
         starts = [p.begin + shift for p in found.pieces]
-        if starts and not prefixed:
+        if starts and shift:
             starts[0] = 0
         return starts
 
@@ -63,30 +67,29 @@ class Counter:
             return 0
         if len(text) <= self.chunk or not self.splits:
             return self.whole(text)
-        total, at, n = 0, 0, len(text)
-        wanted, overlap = self.chunk, self.overlap
-        left = None
+        raw = text.encode()
+        total, at, wanted, overlap = 0, 0, self.chunk, self.overlap
         while True:
-            stop = min(n, at + wanted)
-            left = self._boundaries(text[at:stop], at == 0)
-            if stop == n:
+            stop = min(len(raw), at + wanted)
+            while stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+                stop += 1
+            left = self._starts(raw[at:stop], at == 0)
+            if stop == len(raw):
                 return total + len(left)
-            cut = self._splice(text, at, stop, overlap, left)
-            if cut is None:  # widen: more of the text, and twice the overlap to look through
+            cut = self._splice(raw, at, stop, overlap, left)
+            if cut is None:  # alignment failed: more of the text, and twice the overlap to look through
                 wanted, overlap = wanted + 2 * overlap, 2 * overlap
                 continue
-            kept = next(k for k, x in enumerate(left) if x == cut - at)
-            total, at, wanted, overlap = total + kept, cut, self.chunk, self.overlap
-
-    def _splice(self, text: str, at: int, stop: int, overlap: int, left: list[int]) -> int | None:
-        """A stable place of the overlap where the left chunk and a chunk begun in the overlap both cut."""
-        low = max(at + 1, stop - overlap)
-        places = [m.start() for m in STABLE.finditer(text, low, stop - 1) if m.start() > low]
-        if not places:
+            total, at, wanted, overlap = total + bisect_left(left, cut - at), cut, self.chunk, self.overlap
+
+    def _splice(self, raw: bytes, at: int, stop: int, overlap: int, left: list[int]) -> int | None:
+        """A stable place of the overlap at which the left chunk and one begun in the overlap both cut."""
+        places = [m.start() for m in STABLE.finditer(raw, max(at + 1, stop - overlap), stop)]
+        if len(places) < 2:
             return None
         lefts = {x + at for x in left}
-        rights = {x + places[0] for x in self._boundaries(text[places[0] : stop], False)}
-        common = [p for p in places if p in lefts and p in rights]
+        rights = {x + places[0] for x in self._starts(raw[places[0] : stop], False)}
+        common = [p for p in places[1:] if p in lefts and p in rights]
         return common[len(common) // 2] if common else None
 
 

@@ -81,13 +81,13 @@ class Classifier:
 
 def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, lang_pred, score, margin and rejected of every row."""
-    kept = docs.select(*keep, F.col("text").alias("__text"))
+    kept = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("margin", "double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classifier = Classifier(dictionaries)
         for b in batches:
-            got = [classifier.predict(t) for t in b.pop("__text")]
+            got = [classifier.predict(t) for t in (b["text"] if "text" in keep else b.pop("text"))]
             b["lang_pred"], b["score"], b["margin"] = ([g[i] for g in got] for i in range(3))
             yield b
 

@@ -35,13 +35,17 @@ SLICES = 4096
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def word_count(text: str):
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words, shuffle key of every row, staged so that texts are read once."""
     return stage(
         docs.select(
             "doc_id",
             "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            word_count("text").alias("size"),
             F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix")).cast("binary")).alias("key"),
         ),
         "mix-sizes",
@@ -128,6 +132,21 @@ def mix(docs: DataFrame) -> DataFrame:
     return lined.select("doc_id", "source", "size", "source_size", "target", taken)
 
 
+def sample_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` repeated as often as the mixture takes each: rows not taken go, some come twice.
+
+    Rows of one id are told apart by their place in the queue, so each keeps its own number of copies.
+    """
+    taken = mix(docs).filter("taken > 0").select("doc_id", "source", "size", (F.col("taken") / F.col("size")).cast("int").alias("__n"))
+    number = Window.partitionBy("doc_id", "source", "size")
+    taken = taken.withColumn("__k", F.row_number().over(number.orderBy(F.col("__n").desc())))
+    sized = docs.withColumn("size", word_count("text"))
+    sized = sized.withColumn("__k", F.row_number().over(number.orderBy("text")))
+    on = [sized[c].eqNullSafe(taken[c]) for c in ("doc_id", "source", "size", "__k")]
+    both = sized.join(taken, on[0] & on[1] & on[2] & on[3])
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[sized[c] for c in docs.columns])
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import counts, langid, mixing, packing, simhash, sketch, tokenfiles, toxicity, urls
+from sheaf.llm import counts, langid, media, mixing, packing, simhash, sketch, tokenfiles, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": langid.op4,
         "op5_token_files": tokenfiles.op5,
         "op6_packing": packing.op6,
+        "op7_media": media.op7,
         "op8_token_counts": counts.op8,
         "op9_mixing": mixing.op9,
         "op10_url_filter": urls.op10,

@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -227,6 +227,23 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, id: str = "doc_id", text
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, max_bits: int = 3) -> DataFrame:
+    """``docs`` with one row for each component: the one of its smallest id.
+
+    Of repeated rows of that id the one with the least text stays. A group without any id keeps nothing
+    to name a choice by, so its rows all stay.
+    """
+    found = near_duplicates(docs, max_bits)
+    chosen = found.filter("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]), "left_semi")
+    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    single = kept.join(repeated, "doc_id", "left_anti")
+    twice = kept.join(repeated, "doc_id", "left_semi")
+    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    least = twice.withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k")
+    return single.unionByName(least)
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

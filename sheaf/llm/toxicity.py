@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
 
 def score_frame(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``docs`` reduced to ``keep``, with ``score`` of every whole text."""
-    kept = docs.select(*keep, F.col("text").alias("__text"))
+    kept = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     schema = docs.select(*keep).schema.add("score", "double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +157,7 @@ def score_frame(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc
         index = machine.index
         for b in batches:
             scores = []
-            for t in b.pop("__text"):
+            for t in b["text"] if "text" in keep else b.pop("text"):
                 rows: set[int] = set()
                 for w in words(t):
                     got = memo.get(w)
