@@ -18,8 +18,9 @@ def test_round_trip_of_a_page():
     sheet = generate()[12]
     for compress in (True, False):
         tokens, pages = pdf.read_pdf(sheet_pdf(sheet, compress))
-        assert [t[2] for t in tokens] == [t[3] for t in sheet.tokens]
-        for got, want in zip(tokens, sheet.tokens):
+        shown = [t for t in sheet.tokens if t[3].strip()]
+        assert [t[2] for t in tokens] == [t[3] for t in shown]
+        for got, want in zip(tokens, shown):
             assert got[3:7] == pytest.approx(want[4:8]) and got[9] == want[10]
         assert pages == [(0, 595.0, 842.0, 0, 0)]
 
