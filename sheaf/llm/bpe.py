@@ -70,11 +70,10 @@ class ChunkedBpe:
             return b""
         if any(a in text for a in self.added):
             return self._library(text)
-        lines = [line.split(" ") for line in text.split("\n")]
-        if len(text.split()) != sum(map(len, lines)) or any(len(x) == 1 and not x[0] for x in lines):
+        if text.split() != text.replace("\n", " ").split(" "):  # other white space, or two of it side by side
             return b"".join([self._known(c, "") for c in REGULAR_SPACE.split(text)])
         spaced, out = self.spaced, []
-        for k, (head, *rest) in enumerate(lines):
+        for k, (head, *rest) in enumerate(line.split(" ") for line in text.split("\n")):
             if k:
                 out.append(self.line_feed)
             out.append(self._known(head, ""))
