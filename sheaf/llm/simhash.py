@@ -230,18 +230,19 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, id: str = "doc_id", text
 def keep_one(docs: DataFrame, max_bits: int = 3) -> DataFrame:
     """``docs`` with one row for each component: the one of its smallest id.
 
-    Of repeated rows of that id the one with the least text stays. A group without any id keeps nothing
-    to name a choice by, so its rows all stay.
+    Of repeated rows of that id the one with the least text stays. Rows without an id all stay, for
+    nothing names a choice among them.
     """
     found = near_duplicates(docs, max_bits)
-    chosen = found.filter("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]), "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
-    single = kept.join(repeated, "doc_id", "left_anti")
-    twice = kept.join(repeated, "doc_id", "left_semi")
+    chosen = found.filter("doc_id = component_id").select("doc_id").distinct()
+    nameless = docs.filter("doc_id is null")
+    kept = docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
+    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    twice = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
     order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
     least = twice.withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k")
-    return single.unionByName(least)
+    return single.unionByName(least).unionByName(nameless)
 
 
 def hex_fingerprint(fp: Column) -> Column:
