@@ -182,7 +182,7 @@ def test_language_of_the_held_out_quarter(spark):
         r = random.Random(i)
         texts.append((i, " ".join("".join(r.choices(sounds[lang], k=3)) for _ in range(60))))
         langs[i] = lang
-    texts += [(900, None), (901, "123 456 ..."), (902, "x")]
+    texts += [(900, None), (901, "123 456 ... \u00bd"), (902, "x")]
     docs = table(spark, texts, langs)
     found = {r["doc_id"]: r for r in langid.identify(docs, langid.fit_dictionaries(docs)).collect()}
     assert all(found[i]["lang_pred"] == langs[i] and 0 <= found[i]["score"] <= 1 and not found[i]["rejected"] for i in range(300) if held(i))
