@@ -9,6 +9,10 @@ from sheaf import constants as C
 from sheaf.functions.values import date_proofs, resolve_date_style, with_value
 
 
+#: Confidence of a date whose order nothing settles, and of one that its column's style settles.
+AMBIGUOUS, SETTLED = 0.45, 0.85
+
+
 def first_candidates(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     """The first candidate of each (document, field). labels: kind, label, field."""
     met = candidates.join(labels, ["kind", "label"])
@@ -60,19 +64,29 @@ def canonical(cells: DataFrame, order: list[str], by: tuple[str, ...] = ("field"
     Values are grouped by field and the label they were found under, for one source writes dates one
     way: a single provable date settles its group's ambiguous ones. Corrected texts count as the raw ones.
     """
-    keyed = cells.withColumn("__given", F.coalesce("corrected_to", "raw") if "corrected_to" in cells.columns else F.col("raw"))
-    keyed = keyed.withColumn("__label", F.coalesce("source_label", F.lit("")))
+    given = F.coalesce("corrected_to", "raw") if "corrected_to" in cells.columns else F.col("raw")
+    keyed = cells.withColumns({"__given": given, "__label": F.coalesce("source_label", F.lit(""))})
+    typed = with_value(keyed, F.col("__given"), "__v")
     groups = [*by, "__label"]
-    facts = date_styles(keyed, groups, "__given").select(*groups, F.col("style").alias("__proved"))
-    facts = facts.join(majority_types(keyed, groups, order, "__given").withColumnRenamed("type", "column_type"), groups)
-    joined = keyed.join(facts, groups, "left")
-    # a value that is no date on its own stays none under a style, so one typing covers both cases;
-    # a phone or an amount never reads as a date, and dates come before them in any case
-    style = F.when(F.col("column_type") == "date", F.col("__proved")).otherwise("unknown")
-    styled = with_value(joined.withColumn("style", F.coalesce(style, F.lit("unknown"))), F.col("__given"), "value", F.col("style"))
-    out = styled.withColumn("value", F.when(F.col("__given").isNotNull(), F.col("value")))
+    # one aggregate, by type inside each group, gives both the proofs and the majority
+    dmy, mdy = date_proofs(F.col("__given"))
+    counts = typed.filter(F.col("__given").isNotNull()).groupBy(*groups, F.col("__v.type").alias("type")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("seen"), F.count_if(dmy).alias("dmy"), F.count_if(mdy).alias("mdy")
+    )
+    facts = counts.groupBy(*groups).agg(
+        F.min_by("type", F.struct((-F.col("n")).alias("n"), "seen")).alias("column_type"), F.sum("dmy").alias("dmy"), F.sum("mdy").alias("mdy")
+    )
+    proved = F.when(F.col("column_type") == "date", resolve_date_style(F.col("dmy"), F.col("mdy"))).otherwise("unknown")
+    facts = facts.select(*groups, "column_type", proved.alias("style"))
+    joined = typed.join(facts, groups, "left").withColumn("style", F.coalesce("style", F.lit("unknown")))
+    # only an ambiguous date depends on the style: it was read day-first, so month-first swaps the two
+    v = F.col("__v")
+    settled = (v["type"] == "date") & (v["confidence"] == AMBIGUOUS) & (F.col("style") != "unknown")
+    swapped = F.regexp_replace(v["text"], r"\A(\d+)-(\d{2})-(\d{2})\z", "$1-$3-$2")
+    reread = v.withField("text", F.when(F.col("style") == "mdy", swapped).otherwise(v["text"])).withField("confidence", F.lit(SETTLED))
+    out = joined.withColumn("value", F.when(F.col("__given").isNotNull(), F.when(settled, reread).otherwise(v)))
     blended = F.greatest(F.lit(0.0), F.col("confidence") * C.BLEND_OLD + F.col("value.confidence") * C.BLEND_TYPE)
-    return out.withColumn("confidence", F.coalesce(blended, "confidence")).drop("__given", "__label", "__proved")
+    return out.withColumn("confidence", F.coalesce(blended, "confidence")).drop("__given", "__label", "__v")
 
 
 def unresolved_dates(cells: DataFrame, by: tuple[str, ...] = ("field",)) -> DataFrame:
