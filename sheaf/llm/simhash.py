@@ -237,7 +237,10 @@ def keep_one(docs: DataFrame, max_bits: int = 3) -> DataFrame:
     chosen = found.filter("doc_id = component_id").select("doc_id").distinct()
     nameless = docs.filter("doc_id is null")
     kept = docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
-    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = stage(ids.filter("n > 1").select("doc_id"), "simhash-repeated")
+    if repeated.isEmpty():  # the usual case needs no further pass over the texts
+        return kept.unionByName(nameless)
     single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
     twice = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
     order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
