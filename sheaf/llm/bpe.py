@@ -64,6 +64,10 @@ class ChunkedBpe:
                 memo[chunk] = got
         return got
 
+    def forget(self) -> None:
+        """Give back the memory of remembered chunks; a worker may go on to other stages."""
+        self.spaced, self.plain = {}, {}
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:

@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.toxicity import held_out
 
-FIT_DOCS = 300
+FIT_DOCS = 200
 MAX_FIT_CHARS = 16_384
-DICT_BYTES = 1 << 18
+DICT_BYTES = 1 << 17
 LEVEL = 5
 #: A relative margin below this is narrow: the two best sizes are all but equal.
 NARROW = 0.002

@@ -58,6 +58,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                     out.append((doc, k, a, n, zlib.crc32(view[4 * a : 4 * (a + n)])))
             got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield got.astype({"doc_id": "Int64"})
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInPandas(run, PIECES)
 
