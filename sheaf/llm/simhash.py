@@ -234,7 +234,11 @@ def keep_one(docs: DataFrame, max_bits: int = 3) -> DataFrame:
     nothing names a choice among them.
     """
     found = near_duplicates(docs, max_bits)
-    chosen = found.filter("doc_id = component_id").select("doc_id").distinct()
+    return chosen_rows(docs, found.filter("doc_id = component_id").select("doc_id").distinct())
+
+
+def chosen_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each id of ``chosen``, and every row without an id."""
     nameless = docs.filter("doc_id is null")
     kept = docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
     ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
