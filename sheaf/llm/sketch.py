@@ -5,12 +5,14 @@ shingle). Each is hashed to 64 bits, and every hash below the fraction 1/``SCALE
 Sketches of the same scale can be merged by union, and the share of one sketch found in another
 estimates containment however unequal the documents are.
 
-A text of at most ``SMALL`` shingles keeps all of them (scale 1), for an eighth of a few is too few to
-compare. Two sketches of different scales are compared at the coarser one, by dropping the hashes at or
-over its threshold, as sketches of this kind allow.
+A text of at most ``SMALL`` distinct shingles keeps all of them (scale 1), for an eighth of a few is too
+few to compare; any other keeps its ``FEW`` smallest hashes at least. Two sketches of different scales are
+compared at the coarser one, by dropping the hashes at or over its threshold, as sketches of this kind
+allow. Where fewer than ``FEW`` hashes of either are left there, a sketch can't tell, and the two texts'
+whole sets of shingles are compared instead.
 
 Cases: a null text counts as empty and has an empty sketch, written ``1:``; likeness is the share of the
-smaller sketch found in the other, 1 for equal sketches and 0 where one is empty and the other isn't;
+smaller sketch found in the other, 1 for two empty texts and 0 where one is empty and the other isn't;
 rows of one doc_id stand in the order of their texts, rows without an id before all others; the document
 after the last is the first, so a single one follows itself; extra columns are ignored.
 """
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 SCALE = 8
 SMALL = 64
+#: Hashes that a sketch of scale SCALE has at least, and that a comparison at that scale needs.
+FEW = 8
 FLOOR = -(1 << 63)
 #: Documents that one range of ids holds, about, and tail rows that are broadcast at most.
 RANGE_ROWS = 4096
@@ -34,20 +38,27 @@ def below(hashes: Column, scale: int = SCALE) -> Column:
     return F.filter(hashes, lambda h: h < F.lit(FLOOR + (1 << 64) // scale))
 
 
+def shingles_of(text: str) -> Column:
+    """The distinct hashes of a whole text's shingles."""
+    words = F.transform(F.array_remove(F.split(text, SPACE), ""), lambda w: F.xxhash64(w))
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        run = F.transform(
+            F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)])
+        )
+        return F.when(n >= SHINGLE, run).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.transform(F.array(words), runs)[0])  # words are bound once
+
+
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds struct ``name``: ``full`` (scale 1) and ``hashes`` (sorted, distinct)."""
-    words = F.array_remove(F.split(text, SPACE), "")
-    hashed = df.withColumn("__words", F.transform(words, lambda w: F.xxhash64(w)))
-    n = F.size("__words")
-    run = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))),
-        lambda i: F.xxhash64(*[F.get("__words", i + k) for k in range(SHINGLE)]),
-    )
-    shingles = F.when(n >= SHINGLE, run).when(n > 0, F.array(F.xxhash64("__words"))).otherwise(F.array().cast("array<bigint>"))
-    hashed = hashed.withColumn("__shingles", shingles)
+    hashed = df.withColumn("__shingles", F.sort_array(shingles_of(text)))
     full = F.size("__shingles") <= SMALL
-    kept = F.sort_array(F.array_distinct(F.when(full, F.col("__shingles")).otherwise(below(F.col("__shingles")))))
-    return hashed.withColumn(name, F.struct(full.alias("full"), kept.alias("hashes"))).drop("__words", "__shingles")
+    cut = F.transform(F.array(below(F.col("__shingles"))), lambda x: F.when(F.size(x) >= FEW, x).otherwise(F.slice("__shingles", 1, FEW)))[0]
+    kept = F.when(full, F.col("__shingles")).otherwise(cut)
+    return hashed.withColumn(name, F.struct(full.alias("full"), kept.alias("hashes"))).drop("__shingles")
 
 
 def shown(sketch: str) -> Column:
@@ -62,11 +73,15 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0))
 
 
-def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    same = F.col(f"{a}.full") == F.col(f"{b}.full")
-    sides = [F.when(same | ~F.col(f"{x}.full"), F.col(f"{x}.hashes")).otherwise(below(F.col(f"{x}.hashes"))) for x in (a, b)]
+def with_likeness(df: DataFrame, a: str, b: str, name: str, texts: tuple[str, str]) -> DataFrame:
+    """Adds ``name``: how alike the sketches a and b are, or their texts where the sketches can't tell."""
+    full = F.col(f"{a}.full") & F.col(f"{b}.full")
+    sides = [F.when(full, F.col(f"{x}.hashes")).otherwise(below(F.col(f"{x}.hashes"))) for x in (a, b)]
     with_sides = df.withColumns({"__a": sides[0], "__b": sides[1]})
-    got = F.when(F.col(a) == F.col(b), 1.0).otherwise(containment(F.col("__a"), F.col("__b")))
+    enough = F.least(F.size("__a"), F.size("__b")) >= FEW
+    both = F.array(F.struct(shingles_of(texts[0]).alias("x"), shingles_of(texts[1]).alias("y")))
+    whole = F.transform(both, lambda p: containment(p["x"], p["y"]))[0]
+    got = F.when(full | enough, containment(F.col("__a"), F.col("__b"))).otherwise(whole)
     return with_sides.withColumn(name, got).drop("__a", "__b")
 
 
@@ -106,10 +121,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     edited = F.concat(
         F.substring("text", F.lit(1), (F.col("n_chars") - F.col("__k")).cast("int")), F.substring("next.text", F.lit(1), F.col("__k"))
     )
-    made = counted.select("doc_id", "n_chars", "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
+    made = counted.select("doc_id", "n_chars", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
     made = with_sketch(made, "edited", "edited_sketch")
-    made = with_likeness(made, "sketch", "edited_sketch", "near_edited")
-    made = with_likeness(made, "sketch", "next_sketch", "near_next")
+    made = with_likeness(made, "sketch", "edited_sketch", "near_edited", ("text", "edited"))
+    made = with_likeness(made, "sketch", "next_sketch", "near_next", ("text", "next_text"))
     return made.select(
         "doc_id",
         "n_chars",
