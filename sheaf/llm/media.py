@@ -20,13 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.webp import channels, chunk_of, decode_many, encode_grey
+from sheaf.llm.webp import channels, chunk_of, decode_each, encode_grey
 
 ROW = 192
 STRIPE_ROWS = 96
 #: Documents and bytes that are decoded together, about.
 BATCH_ROWS = 4096
 BATCH_BYTES = 1 << 25
+#: Bytes of pixel arrays that are handed on together, about.
+PIXEL_BYTES = 1 << 23
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -40,19 +42,24 @@ def encode_payload(raw: bytes) -> bytes:
     return b"".join([encode_grey(samples[a : a + step], ROW) for a in range(0, len(samples), step)])
 
 
-def decode_payloads(media: list[bytes]) -> list[np.ndarray]:
-    """The samples of many media values; their images are decoded together."""
-    streams, owner = [], []
-    for k, m in enumerate(media):
+def decode_pixels(media: list[bytes]) -> Iterator[np.ndarray]:
+    """The (height, width) ARGB arrays of many media values, images one below the other; decoded together."""
+    streams, images = [], []
+    for m in media:
+        before = len(streams)
         while m:
             stream, end = chunk_of(m)
             streams.append(stream)
-            owner.append(k)
             m = m[end:]
-    parts: list[list[np.ndarray]] = [[] for _ in media]
-    for k, pixels in zip(owner, decode_many(streams)):
-        parts[k].append(channels(pixels)[..., 0].ravel())
-    return [np.concatenate(p) for p in parts]
+        images.append(len(streams) - before)
+    pixels = decode_each(streams)
+    for n in images:
+        yield np.concatenate([next(pixels) for _ in range(n)])
+
+
+def decode_payloads(media: list[bytes]) -> list[np.ndarray]:
+    """The samples of many media values: one channel of their grey pixels."""
+    return [channels(p)[..., 0].ravel() for p in decode_pixels(media)]
 
 
 def feature(samples: np.ndarray) -> str:
@@ -94,27 +101,38 @@ def slices(weights: list[int]) -> Iterator[slice]:
         yield slice(start, len(weights))
 
 
-DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, pixels binary"
 
 
 def describe_media(stored: DataFrame) -> DataFrame:
-    """What the stored bytes hold: sizes, digests and features of every row's payload."""
+    """What the stored bytes hold: sizes, digests, features and the whole pixel array of every row.
+
+    ``pixels`` has four bytes for each pixel (blue, green, red, alpha), ``width`` pixels to a row.
+    """
+    names = [x.split()[0] for x in DESCRIBED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+
         for b in batches:
+            ids = [None if pd.isna(i) else int(i) for i in b["doc_id"].astype("Int64")]
             for part in slices(b["n_bytes"].tolist()):
                 rows = b.iloc[part]
-                media = [bytes(m) for m in rows["media"]]
-                out = []
-                for m, samples in zip(media, decode_payloads(media)):
+                media, out, size = [bytes(m) for m in rows["media"]], [], 0
+                for i, n, m, pixels in zip(ids[part], rows["n_bytes"], media, decode_pixels(media)):
+                    samples = channels(pixels)[..., 0].ravel()
                     raw = samples.tobytes()
                     out.append((
-                        len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(samples),
+                        i, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(m), hashlib.sha256(m).hexdigest(),
+                        feature(samples), *pixels.shape, pixels.astype("<u4", copy=False).tobytes(),
                     ))
-                got = pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-                got.insert(0, "n_bytes", rows["n_bytes"].to_numpy())
-                got.insert(0, "doc_id", rows["doc_id"].astype("Int64").array)
-                yield got
+                    size += pixels.nbytes
+                    if size > PIXEL_BYTES:
+                        yield frame(out)
+                        out, size = [], 0
+                if out:
+                    yield frame(out)
 
     return stored.mapInPandas(run, DESCRIBED)
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -389,17 +390,19 @@ def grey_stream(stream: bytes) -> GreyStream | None:
 
 
 def decode_many(streams: list[bytes]) -> list[np.ndarray]:
-    """ARGB arrays of many streams. Grey ones advance together, one pixel of each at a time."""
-    out: list[np.ndarray | None] = [None] * len(streams)
+    return list(decode_each(streams))
+
+
+def decode_each(streams: list[bytes]) -> Iterator[np.ndarray]:
+    """ARGB arrays of many streams, in turn. Grey ones advance together, one pixel of each at a time."""
     grey = []
     for i, s in enumerate(streams):
         g = grey_stream(s)
-        if g is None:
-            out[i] = decode(s)
-        else:
+        if g is not None:
             grey.append((g.width * g.height, i, g))
     if not grey:
-        return out  # type: ignore[return-value]
+        yield from map(decode, streams)
+        return
     grey.sort(key=lambda x: -x[0])
     sizes = np.array([x[0] for x in grey])
     raw = np.frombuffer(b"".join([streams[i] for _, i, _ in grey]) + b"\0" * 8, np.uint8)
@@ -422,10 +425,15 @@ def decode_many(streams: list[bytes]) -> list[np.ndarray]:
         samples[to] = entry.astype(np.uint8)
         place += entry >> 9
         to += 1
-    for k, (_, i, g) in enumerate(grey):
+    del table, raw, words
+    found = {i: k for k, (_, i, _) in enumerate(grey)}
+    for i, s in enumerate(streams):  # four bytes a pixel are made for one image at a time
+        if i not in found:
+            yield decode(s)
+            continue
+        k = found[i]
         value = samples[target[k] : target[k + 1]].astype("<u4") * 0x010101 | 0xFF000000
-        out[i] = value.reshape(g.height, g.width)
-    return out  # type: ignore[return-value]
+        yield value.reshape(grey[k][2].height, grey[k][2].width)
 
 
 class BitWriter:
