@@ -109,7 +109,7 @@ class Document:
             raise ValueError("not a PDF file")
         if re.search(rb"/Encrypt\b", raw):
             raise ValueError("the file is encrypted")
-        self.objects: dict[int, tuple[object, bytes]] = {}
+        self.objects: dict[int, tuple[object, bytes | None]] = {}
         for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b", raw):
             self._add(int(m[1]), raw, m.end())
         for value, data in list(self.objects.values()):
@@ -129,15 +129,18 @@ class Document:
         self.objects[number] = (value, data)
 
     @staticmethod
-    def _decode(value: dict, data: bytes) -> bytes:
+    def _decode(value: dict, data: bytes) -> bytes | None:
+        """The stream's bytes, or None where a filter isn't read (images are never asked for)."""
         filters = value.get("Filter", [])
         for f in filters if isinstance(filters, list) else [filters]:
             if f != "FlateDecode":
-                return b""
+                return None
             data = zlib.decompressobj().decompress(data)
         return data
 
-    def _unpack(self, value: dict, data: bytes) -> None:
+    def _unpack(self, value: dict, data: bytes | None) -> None:
+        if data is None:
+            raise ValueError("a filter of an object stream is not read")
         first, n = value["First"], value["N"]
         heads = [int(x) for x in data[:first].split()[: 2 * n]]
         for number, at in zip(heads[::2], heads[1::2]):
@@ -166,7 +169,10 @@ class Document:
     def content(self, page: dict) -> bytes:
         parts = page.get("Contents")
         parts = parts if isinstance(parts, list) else self.get(parts) if isinstance(self.get(parts), list) else [parts]
-        return b"\n".join(self.objects[int(p)][1] for p in parts if isinstance(p, Ref) and int(p) in self.objects)
+        found = [self.objects[int(p)][1] for p in parts if isinstance(p, Ref) and int(p) in self.objects]
+        if None in found:
+            raise ValueError("a filter of page content is not read")
+        return b"\n".join(found)
 
 
 def multiply(a: Matrix, b: Matrix) -> Matrix:
@@ -189,6 +195,7 @@ def runs(doc: Document, page: dict) -> list[tuple[str, Matrix, float, str]]:
     """(text, matrix scaled to the font size, width in text space, font) of each run on a page."""
     fonts = (doc.get((doc.get(page.get("Resources")) or {}).get("Font")) or {}).items()
     named = {k: doc.get(v) or {} for k, v in fonts}
+    drawn = doc.get((doc.get(page.get("Resources")) or {}).get("XObject")) or {}
     out: list[tuple[str, Matrix, float, str]] = []
     ctm, saved, text, line, font, size, leading = IDENTITY, [], IDENTITY, IDENTITY, "", 0.0, 0.0
     args: list = []
@@ -222,6 +229,9 @@ def runs(doc: Document, page: dict) -> list[tuple[str, Matrix, float, str]]:
                 font, size = args[-2], float(args[-1])
                 if named.get(font, {}).get("Subtype") == "Type0":
                     raise ValueError("composite fonts are not read")
+            case "Do":
+                if (doc.get(drawn.get(args[-1])) or {}).get("Subtype") != "Image":
+                    raise ValueError("form objects are not read")
             case "TL":
                 leading = args[-1]
             case "Tm":

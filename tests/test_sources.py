@@ -46,6 +46,19 @@ def test_folder_of_files(spark, tmp_path):
         pdf.read_pdfs(spark, f"file://{only}")
 
 
+def test_content_that_is_not_read_is_an_error():
+    page = pdf.write_pdf([(595, 842, 0, [("Total 12", 10, 20, 9, False)])])
+    plain = pdf.write_pdf([(595, 842, 0, [("Total 12", 10, 20, 9, False)])], False)
+    with pytest.raises(ValueError, match="filter of page content"):
+        pdf.read_pdf(page.replace(b"/FlateDecode", b"/ASCII85Decode"))
+    drawing = lambda kind: plain.replace(b"/Resources <<", b"/Resources << /XObject << /X 9 0 R >>").replace(b"BT /F0 9", b"/X Do BT /F0 9").replace(
+        b"/Length ", b"/Was "
+    ) + b"9 0 obj\n<< /Subtype /" + kind + b" /Filter /DCTDecode >>\nstream\n1\nendstream\nendobj\n"
+    with pytest.raises(ValueError, match="form objects"):
+        pdf.read_pdf(drawing(b"Form"))
+    assert [t[2] for t in pdf.read_pdf(drawing(b"Image"))[0]] == ["Total 12"]
+
+
 def test_empty_pile(spark):
     from sheaf.operators.geometry import PAGES, TOKENS
 
