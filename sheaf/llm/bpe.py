@@ -5,11 +5,14 @@ runs of white space) never lets a token cross a single space, or a single line f
 two visible characters. Texts are cut there, each distinct chunk is given to the library once for as long
 as the worker remembers it, and the ids are put together again. Anything irregular (double spaces, tabs,
 edges) is cut more coarsely and given to the library as it stands; a text that holds an added token's
-string goes to it whole. Ids are kept as little-endian unsigned 32-bit bytes.
+string goes to it whole. So does every text where the file's own settings are others than these: no
+normalizer, no truncation, a byte-level pre-tokenizer with that pattern and no space put in front, and a
+plain BPE model. Ids are kept as little-endian unsigned 32-bit bytes.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -27,9 +30,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def cuts_at_spaces(settings: dict) -> bool:
+    """Whether a tokenizer file's settings are those for which texts may be cut."""
+    before, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return (
+        plain and model.get("type") == "BPE"
+        and not any(settings.get(k) for k in ("normalizer", "truncation", "padding"))
+        and before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
+    )
+
+
 class ChunkedBpe:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
+        self.cuts = cuts_at_spaces(json.loads(self.library.to_str()))
         self.model = self.library.model
         self.letters = _byte_letters()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -72,7 +87,7 @@ class ChunkedBpe:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if any(a in text for a in self.added):
+        if not self.cuts or any(a in text for a in self.added):
             return self._library(text)
         if text.split() != text.replace("\n", " ").split(" "):  # other white space, or two of it side by side
             return b"".join([self._known(c, "") for c in REGULAR_SPACE.split(text)])

@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.batches import with_results
+
 CHUNK = 1 << 15
 OVERLAP = 256
 LIMIT = 4096
@@ -103,15 +103,12 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT)
     """doc_id, n_bytes, n_tokens, over_limit of every whole text."""
     model = model or default_model()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         library = counter(model)
-        for b in batches:
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64"), "n_bytes": b["n_bytes"], "n_tokens": [library.count(t) for t in b["text"]],
-            })
+        return lambda texts: ([library.count(t) for t in texts],)
 
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    counted = rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = with_results(rows, ("doc_id", "n_bytes"), "n_tokens long", start)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -8,32 +8,34 @@ finds is taken for a run of pieces at once. The plan that comes out is a list of
 the capacity, not on the corpus, so it is broadcast.
 
 The pieces themselves stay distributed. Each gets its number among the pieces of its length from a
-running count inside (bucket, length) plus the counts of earlier buckets; a join with the plan turns the
-number into a sequence and an offset.
+running count inside (length, bucket) plus the counts of earlier buckets, a bucket being about
+``BUCKET_PIECES`` pieces of one length; a join with the plan turns the number into a sequence and an
+offset.
 
-Cases: a null or empty text is one piece holding the end id; longer documents than the capacity are cut
+Cases: a null or empty text is one piece holding the end id; ids, null ones too, come back bit by bit; longer documents than the capacity are cut
 into full pieces after a first one that takes the rest; repeated rows are packed each; an empty table
 gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sheaf.llm.batches import with_many
 from sheaf.llm.bpe import encoder
 from sheaf.llm.tokenfiles import END_ID, default_tokenizer
 from sheaf.plans.staging import stage
 
 CAPACITY = 1024
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = "piece int, start long, length long, ids binary"
 PLAN = "length long, lo long, hi long, bin long, per long, offset long"
-#: Pieces that one bucket of the numbering holds, about.
-BUCKET_PIECES = 50_000
+#: Pieces of one length that one bucket of the numbering holds, about.
+BUCKET_PIECES = 1024
+#: Bytes of ids that are handed on together, about.
+PART_BYTES = 1 << 23
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -45,22 +47,30 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece of every whole text."""
     tokenizer = tokenizer or default_tokenizer()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         bpe, end = encoder(tokenizer), end_id.to_bytes(4, "little")
-        for b in batches:
-            out = []
-            for doc, text in zip(b["doc_id"], b["text"]):
+
+        def work(texts: list[str | None]) -> Iterator[tuple[list[int], tuple]]:
+            of, rows, size = [], [], 0
+            for i, text in enumerate(texts):
                 ids = bpe.encode(text) + end
-                view = memoryview(ids)
                 for k, (a, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    out.append((doc, k, a, n, zlib.crc32(view[4 * a : 4 * (a + n)])))
-            got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield got.astype({"doc_id": "Int64"})
-        bpe.forget()
+                    of.append(i)
+                    rows.append((k, a, n, ids[4 * a : 4 * (a + n)]))
+                size += len(ids)
+                if size > PART_BYTES:
+                    yield of, tuple(zip(*rows))
+                    of, rows, size = [], [], 0
+            if of:
+                yield of, tuple(zip(*rows))
+
+        work.close = bpe.forget
+        return work
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    return with_many(docs, ("doc_id",), PIECE, start)
 
 
 class Rooms:
@@ -136,14 +146,16 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark: SparkSession = found.sparkSession
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = spark.createDataFrame(plan(counts, capacity), PLAN)
-    buckets = max(1, sum(counts.values()) // BUCKET_PIECES)
-    key = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)).cast("int")
-    dealt = found.withColumn("__bucket", key)
-    per_bucket = dealt.groupBy("__bucket", "length").agg(F.count(F.lit(1)).alias("n"))
+    # a length has as many buckets as its own pieces fill, so that no (length, bucket) grows with the corpus
+    several = [(n, -(-c // BUCKET_PIECES)) for n, c in counts.items() if c > BUCKET_PIECES]
+    buckets = F.create_map(*[F.lit(x) for pair in several for x in pair])[F.col("length")] if several else F.lit(None)
+    of = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.coalesce(buckets, F.lit(1)))
+    dealt = found.withColumn("__bucket", of.cast("int"))
+    per_bucket = dealt.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = per_bucket.select("__bucket", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__bucket", "length").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = dealt.withColumn("__row", F.row_number().over(inside) - 1).join(bases, ["__bucket", "length"])
+    bases = per_bucket.select("length", "__bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "ids_crc32")
+    numbered = dealt.withColumn("__row", F.row_number().over(inside) - 1).join(bases, ["length", "__bucket"])
     numbered = numbered.withColumn("__no", F.col("__base") + F.col("__row"))
     a, r = numbered.alias("a"), F.broadcast(runs).alias("r")
     on = (F.col("a.length") == F.col("r.length")) & (F.col("a.__no") >= F.col("r.lo")) & (F.col("a.__no") < F.col("r.hi"))
@@ -156,9 +168,18 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(stage(pieces(docs, capacity, tokenizer), "pieces"), capacity)
+    """One row per piece: doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset.
+
+    The ids of a sequence in the order of ``offset`` are what a trainer reads.
+    """
+    return pack(stage(with_digest(pieces(docs, capacity, tokenizer)), "pieces"), capacity)
+
+
+def with_digest(found: DataFrame) -> DataFrame:
+    return found.withColumn("ids_crc32", F.crc32("ids"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Packs the pieces' digests alone; ``pack_documents`` carries the ids themselves."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pack(stage(with_digest(pieces(docs)).drop("ids"), "pieces"))

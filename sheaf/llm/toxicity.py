@@ -12,22 +12,23 @@ source and doc_id never enter a score. Scoring is a map over whole texts with th
 along; it needs no shuffle.
 
 Cases: null and blank texts score as a text without terms; without labels (or with one class only)
-every score is the smoothed base rate; repeated label rows count by their maximum; labels of unknown
-documents and null labels are ignored; extra columns are ignored, null ids are scored and never fitted.
+every score is the smoothed base rate; repeated label rows count by their maximum; of rows that repeat a
+labelled id one is learned from and all are scored; labels of unknown documents and null labels are
+ignored; extra columns are ignored, null ids are scored and never fitted; ids come back bit by bit.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.batches import with_results
+
 FIT_ROWS = 8000
 BUCKETS = 1 << 20
 MIN_DF = 4
@@ -127,50 +128,46 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, steps: int = 200, rate: f
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine:
-    """Fit on at most ``fit_rows`` labelled rows outside the held-out quarter, taken in hash order.
+    """Fit on at most ``fit_rows`` labelled documents outside the held-out quarter, taken in hash order.
 
-    Only the chosen ids are broadcast, and there are at most fit_rows of them.
+    Only the chosen ids are broadcast, and there are at most fit_rows of them; rows that repeat an id are
+    reduced to one (the one of the least terms) before anything comes to the driver.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     known = known.filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(fit_rows)
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            terms = [np.array(buckets(t), dtype="<i4").tobytes() for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "terms": terms})
+    def start():
+        return lambda texts: ([np.array(buckets(t), dtype="<i4").tobytes() for t in texts],)
 
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    got = rows.mapInPandas(hashed, "doc_id long, toxic int, terms binary").toPandas()
-    got = got.sort_values(["doc_id", "terms"], kind="stable").head(fit_rows)
-    samples = [np.frombuffer(x, dtype="<i4") for x in got["terms"]]
-    return fit(samples, (got["toxic"].to_numpy() > 0).astype(np.float64))
+    terms = with_results(rows, ("doc_id", "toxic"), "terms binary", start)
+    got = terms.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms")).orderBy("doc_id").collect()
+    samples = [np.frombuffer(bytes(r["terms"]), dtype="<i4") for r in got]
+    return fit(samples, np.array([float(r["toxic"] > 0) for r in got]))
 
 
 def score_frame(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``docs`` reduced to ``keep``, with ``score`` of every whole text."""
-    kept = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    schema = docs.select(*keep).schema.add("score", "double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         memo: dict[str, tuple[int, ...]] = {}
         index = machine.index
-        for b in batches:
-            scores = []
-            for t in b["text"] if "text" in keep else b.pop("text"):
-                rows: set[int] = set()
-                for w in words(t):
-                    got = memo.get(w)
-                    if got is None:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        got = memo[w] = tuple(index[x] for x in word_buckets(w) if x in index)
-                    rows.update(got)
-                scores.append(machine.score(sorted(rows)))
-            b["score"] = scores
-            yield b
-
-    return kept.mapInPandas(run, schema)
+
+        def score(text: str | None) -> float:
+            rows: set[int] = set()
+            for w in words(text):
+                got = memo.get(w)
+                if got is None:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    got = memo[w] = tuple(index[x] for x in word_buckets(w) if x in index)
+                rows.update(got)
+            return machine.score(sorted(rows))
+
+        return lambda texts: ([score(t) for t in texts],)
+
+    return with_results(docs, keep, "score double", start)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
