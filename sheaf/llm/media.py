@@ -1,12 +1,14 @@
 """Media columns: texts as lossless WebP images, read back and described.
 
-A text's UTF-8 bytes, padded with spaces to a positive multiple of 192, are stored as grey samples, 192
-to a row. An image holds at most ``STRIPE_ROWS`` rows; longer payloads are several images one after the
-other, so the decoder's memory and its longest run of steps stay bounded whatever a text's length.
-Features are worked out from the samples that come back out of the stored bytes.
+A text's UTF-8 bytes, padded with spaces to a positive multiple of 192, are stored as 8-bit samples, three
+to a pixel (red, green, blue), 64 pixels to a row. An image holds at most ``STRIPE_ROWS`` rows; longer
+payloads are several images one after the other, so the decoder's memory and its longest run of steps stay
+bounded whatever a text's length. Features are worked out from the samples that come back out of the
+stored bytes, through the whole decoder: prefix codes, back-references, colour cache and inverse transforms.
 
 Cases: a null or empty text is one row of spaces; equal texts have equal media and features; repeated
-rows are stored each; an empty table gives an empty result; extra columns are ignored.
+rows are stored each; ids, null ones too, come back bit by bit; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,19 +18,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.webp import channels, chunk_of, decode_each, encode_grey
+from sheaf.llm.batches import with_many, with_results
+from sheaf.llm.lockstep import decode_each
+from sheaf.llm.webp import channels, chunk_of, encode_many
 
-ROW = 192
-STRIPE_ROWS = 96
-#: Documents and bytes that are decoded together, about.
-BATCH_ROWS = 4096
-BATCH_BYTES = 1 << 25
-#: Bytes of pixel arrays that are handed on together, about.
-PIXEL_BYTES = 1 << 23
+ROW, SAMPLES = 192, 3
+WIDTH = ROW // SAMPLES
+STRIPE_ROWS = 32
+#: Bytes of payload that are encoded or decoded together, about, and rows that are decoded together.
+BATCH_BYTES, BATCH_ROWS = 1 << 22, 1024
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -37,29 +38,40 @@ def payload(text: str | None) -> tuple[bytes, int]:
     return raw + b" " * (max(ROW, -(-len(raw) // ROW) * ROW) - len(raw)), len(raw)
 
 
-def encode_payload(raw: bytes) -> bytes:
-    samples, step = np.frombuffer(raw, np.uint8), ROW * STRIPE_ROWS
-    return b"".join([encode_grey(samples[a : a + step], ROW) for a in range(0, len(samples), step)])
+def encode_payloads(payloads: list[bytes]) -> list[bytes]:
+    """The media value of each payload; the images of all are encoded together."""
+    samples, step, images = [], ROW * STRIPE_ROWS, []
+    for p in payloads:
+        whole = np.frombuffer(p, np.uint8)
+        stripes = [whole[a : a + step] for a in range(0, len(whole), step)]
+        samples += stripes
+        images.append(len(stripes))
+    files = iter(encode_many(samples, WIDTH))
+    return [b"".join([next(files) for _ in range(n)]) for n in images]
 
 
 def decode_pixels(media: list[bytes]) -> Iterator[np.ndarray]:
     """The (height, width) ARGB arrays of many media values, images one below the other; decoded together."""
     streams, images = [], []
     for m in media:
-        before = len(streams)
-        while m:
-            stream, end = chunk_of(m)
+        before, at = len(streams), 0
+        while at < len(m):
+            stream, end = chunk_of(m[at:])
             streams.append(stream)
-            m = m[end:]
+            at += end
         images.append(len(streams) - before)
     pixels = decode_each(streams)
     for n in images:
         yield np.concatenate([next(pixels) for _ in range(n)])
 
 
+def samples_of(pixels: np.ndarray) -> np.ndarray:
+    """The samples of pixels in the order in which they were stored."""
+    return channels(pixels)[..., 2::-1].ravel()
+
+
 def decode_payloads(media: list[bytes]) -> list[np.ndarray]:
-    """The samples of many media values: one channel of their grey pixels."""
-    return [channels(p)[..., 0].ravel() for p in decode_pixels(media)]
+    return [samples_of(p) for p in decode_pixels(media)]
 
 
 def feature(samples: np.ndarray) -> str:
@@ -76,19 +88,6 @@ def feature(samples: np.ndarray) -> str:
     return f"{mean:.4f} {spread:.4f} {float(-(share * np.log2(share)).sum()):.4f} {bits}"
 
 
-def store_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media (WebP images) of every whole text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = [payload(t) for t in b["text"]]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64"), "n_bytes": [n for _, n in made], "media": [encode_payload(p) for p, _ in made],
-            })
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
-
-
 def slices(weights: list[int]) -> Iterator[slice]:
     """Consecutive slices of at most BATCH_ROWS rows and about BATCH_BYTES."""
     start = size = 0
@@ -101,7 +100,26 @@ def slices(weights: list[int]) -> Iterator[slice]:
         yield slice(start, len(weights))
 
 
-DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, pixels binary"
+def store_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and media (WebP images) of every whole text."""
+
+    def start():
+        def work(texts: list[str | None]) -> tuple[list[int], list[bytes]]:
+            made = [payload(t) for t in texts]
+            media: list[bytes] = []
+            for part in slices([len(p) for p, _ in made]):
+                media += encode_payloads([p for p, _ in made[part]])
+            return [n for _, n in made], media
+
+        return work
+
+    return with_results(docs, ("doc_id",), "n_bytes long, media binary", start)
+
+
+DESCRIBED = (
+    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+    "height int, width int, pixels binary"
+)
 
 
 def describe_media(stored: DataFrame) -> DataFrame:
@@ -109,32 +127,25 @@ def describe_media(stored: DataFrame) -> DataFrame:
 
     ``pixels`` has four bytes for each pixel (blue, green, red, alpha), ``width`` pixels to a row.
     """
-    names = [x.split()[0] for x in DESCRIBED.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-        for b in batches:
-            ids = [None if pd.isna(i) else int(i) for i in b["doc_id"].astype("Int64")]
-            for part in slices(b["n_bytes"].tolist()):
-                rows = b.iloc[part]
-                media, out, size = [bytes(m) for m in rows["media"]], [], 0
-                for i, n, m, pixels in zip(ids[part], rows["n_bytes"], media, decode_pixels(media)):
-                    samples = channels(pixels)[..., 0].ravel()
+
+    def start():
+        def work(media: list[bytes]) -> Iterator[tuple[list[int], tuple]]:
+            at = 0
+            for part in slices([len(m) for m in media]):
+                rows = []
+                for m, pixels in zip(media[part], decode_pixels(media[part])):
+                    samples = samples_of(pixels)
                     raw = samples.tobytes()
-                    out.append((
-                        i, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(m), hashlib.sha256(m).hexdigest(),
+                    rows.append((
+                        len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(m), hashlib.sha256(m).hexdigest(),
                         feature(samples), *pixels.shape, pixels.astype("<u4", copy=False).tobytes(),
                     ))
-                    size += pixels.nbytes
-                    if size > PIXEL_BYTES:
-                        yield frame(out)
-                        out, size = [], 0
-                if out:
-                    yield frame(out)
-
-    return stored.mapInPandas(run, DESCRIBED)
+                yield list(range(at, at + len(rows))), tuple(zip(*rows))
+                at += len(rows)
+
+        return work
+
+    return with_many(stored, ("doc_id", "n_bytes"), DESCRIBED, start, "media")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -1,22 +1,21 @@
-"""Lossless WebP (VP8L): a full decoder, and an encoder for 8-bit samples.
+"""Lossless WebP (VP8L): a plain decoder, and an encoder for 8-bit samples.
 
 The decoder reads prefix codes (simple and normal), entropy images with meta prefix codes, back-references
 with the 2-D distance map, the colour cache, and inverts all four transforms: predictor, cross-colour,
-subtract-green and palette (with bundled pixels). ``decode`` handles any such stream pixel by pixel.
-``decode_many`` decodes a batch of streams in lock step with numpy when they hold grey literals only
-(subtract-green, one entropy group, no cache, no back-references: what ``encode_grey`` writes); any
-other stream in the batch goes through ``decode``.
+subtract-green and palette (with bundled pixels). ``decode`` handles any stream, one pixel after the other;
+``lockstep`` does the same for thousands of streams at once.
 
-Pixels are unsigned 32-bit ARGB. Samples are stored as grey pixels, one byte each.
+The encoder stores three samples to a pixel (red, green, blue). For each image it estimates what every
+transform would cost and takes the cheapest, or none; then it writes back-references, a colour cache where
+that pays, and its own prefix codes.
+
+Pixels are unsigned 32-bit ARGB.
 """
 
 from __future__ import annotations
 
 import heapq
 import struct
-from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 
@@ -31,6 +30,10 @@ MAX_SIDE = 1 << 14
 MAX_BITS = 11
 
 
+class Unsupported(ValueError):
+    """A stream that lock step can't read, but the plain decoder can."""
+
+
 def near_offsets() -> list[tuple[int, int]]:
     """The 120 short distance codes as (dx, dy): nearer first, then the larger dy, then the larger dx."""
     places = [(dx, dy) for dy in range(8) for dx in range(-7, 9) if dy or dx > 0]
@@ -224,9 +227,9 @@ def _average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def predict(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
-    """The predicted pixel (four channels as int) from left, top, top-right and top-left."""
+    """Predicted pixels (last axis: four channels as int) from left, top, top-right and top-left ones."""
     if mode == 0 or mode > 13:
-        return np.array([0, 0, 0, 255])
+        return np.broadcast_to(np.array([0, 0, 0, 255], left.dtype), left.shape)
     if mode <= 4:
         return (left, top, right, corner)[mode - 1]
     if mode == 5:
@@ -238,13 +241,13 @@ def predict(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, cor
     if mode == 10:
         return _average(_average(left, corner), _average(top, right))
     if mode == 11:
-        toward = np.abs(top - corner).sum() < np.abs(left - corner).sum()
-        return left if toward else top
+        toward = np.abs(top - corner).sum(axis=-1, keepdims=True) < np.abs(left - corner).sum(axis=-1, keepdims=True)
+        return np.where(toward, left, top)
     if mode == 12:
         return np.clip(left + top - corner, 0, 255)
     mean = _average(left, top)
     difference = mean - corner
-    return np.clip(mean + np.trunc(difference / 2).astype(int), 0, 255)
+    return np.clip(mean + (np.abs(difference) >> 1) * np.sign(difference), 0, 255)
 
 
 def undo_predictor(pixels: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
@@ -350,92 +353,6 @@ def decode(stream: bytes) -> np.ndarray:
     return pixels
 
 
-@dataclass
-class GreyStream:
-    """A stream of grey literals whose pixels start at bit ``at``, with its look-up table."""
-
-    width: int
-    height: int
-    at: int
-    table: np.ndarray
-
-
-REVERSED = MIRROR[: 1 << MAX_BITS] >> (LONGEST - MAX_BITS)
-
-
-def lookup(lengths: list[int]) -> np.ndarray | None:
-    """symbol | length << 9 for every window of MAX_BITS bits, or None if a code is longer."""
-    n = np.array(lengths)
-    used = np.flatnonzero(n)
-    if len(used) == 1:
-        return np.full(1 << MAX_BITS, used[0], np.uint16)
-    if n.max() > MAX_BITS:
-        return None
-    order = used[np.lexsort((used, n[used]))]
-    natural = np.repeat(order | n[order] << 9, 1 << (MAX_BITS - n[order]))
-    return natural[REVERSED].astype(np.uint16) if len(natural) == 1 << MAX_BITS else None
-
-
-def grey_stream(stream: bytes) -> GreyStream | None:
-    """What lock-step decoding needs, or None where the stream isn't made of grey literals only."""
-    bits = Bits(stream)
-    width, height = header(bits)
-    if not bits.read(1) or bits.read(2) != SUBTRACT_GREEN or bits.read(1) or bits.read(1) or bits.read(1):
-        return None
-    codes = [read_code(bits, n) for n in (GREEN + LENGTHS, 256, 256, 256, DISTANCES)]
-    table = lookup(codes[0].lengths)
-    if [c.only for c in codes[1:4]] != [0, 0, 255] or any(codes[0].lengths[GREEN:]) or table is None:
-        return None
-    return GreyStream(width, height, bits.at, table)
-
-
-def decode_many(streams: list[bytes]) -> list[np.ndarray]:
-    return list(decode_each(streams))
-
-
-def decode_each(streams: list[bytes]) -> Iterator[np.ndarray]:
-    """ARGB arrays of many streams, in turn. Grey ones advance together, one pixel of each at a time."""
-    grey = []
-    for i, s in enumerate(streams):
-        g = grey_stream(s)
-        if g is not None:
-            grey.append((g.width * g.height, i, g))
-    if not grey:
-        yield from map(decode, streams)
-        return
-    grey.sort(key=lambda x: -x[0])
-    sizes = np.array([x[0] for x in grey])
-    raw = np.frombuffer(b"".join([streams[i] for _, i, _ in grey]) + b"\0" * 8, np.uint8)
-    words = np.ndarray((len(raw) - 3,), "<u4", raw, strides=(1,))
-    begin = np.concatenate(([0], np.cumsum([len(streams[i]) for _, i, _ in grey])))[:-1]
-    place = begin * 8 + np.array([g.at for _, _, g in grey])
-    table = np.concatenate([g.table for _, _, g in grey])
-    base = np.arange(len(grey)) << MAX_BITS
-    target = np.concatenate(([0], np.cumsum(sizes)))
-    samples = np.empty(target[-1], np.uint8)
-    to = target[:-1].copy()
-    active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
-    mask = (1 << MAX_BITS) - 1
-    last = len(grey)
-    for n in active.tolist():
-        if n != last:
-            place, base, to, last = place[:n], base[:n], to[:n], n
-        window = (words[place >> 3] >> (place & 7).astype(np.uint32)) & mask
-        entry = table[base + window]
-        samples[to] = entry.astype(np.uint8)
-        place += entry >> 9
-        to += 1
-    del table, raw, words
-    found = {i: k for k, (_, i, _) in enumerate(grey)}
-    for i, s in enumerate(streams):  # four bytes a pixel are made for one image at a time
-        if i not in found:
-            yield decode(s)
-            continue
-        k = found[i]
-        value = samples[target[k] : target[k + 1]].astype("<u4") * 0x010101 | 0xFF000000
-        yield value.reshape(grey[k][2].height, grey[k][2].width)
-
-
 class BitWriter:
     def __init__(self):
         self.value, self.at = 0, 0
@@ -479,41 +396,31 @@ HELPER = [4] * (MAX_BITS + 1) + [0] * (17 - MAX_BITS - 1) + [3, 3]
 HELPER_CODES = canonical(HELPER)
 
 
-def write_code(out: BitWriter, lengths: list[int]) -> None:
-    """A prefix code: the simple form for one symbol, else lengths with runs of zeros."""
+def code_parts(lengths: list[int]) -> list[tuple[int, int]]:
+    """A prefix code as (value, bits) parts: the simple form for one symbol, else lengths with runs of zeros."""
     used = [s for s, n in enumerate(lengths) if n]
-    if len(used) == 1:
+    if len(used) == 1 and used[0] < 256:
         small = used[0] < 2
-        out.write(1, 1)
-        out.write(0, 1)
-        out.write(not small, 1)
-        out.write(used[0], 1 if small else 8)
-        return
-    out.write(0, 1)
-    out.write(len(CODE_LENGTH_ORDER) - 4, 4)
-    for s in CODE_LENGTH_ORDER:
-        out.write(HELPER[s], 3)
-    out.write(0, 1)
-    for n, group in groupby(lengths):
-        left = len(list(group))
-        while not n and left >= 3:
-            run = min(left, 138)
-            out.write(*HELPER_CODES[18 if run >= 11 else 17])
-            out.write(run - (11 if run >= 11 else 3), 7 if run >= 11 else 3)
-            left -= run
-        for _ in range(left):
-            out.write(*HELPER_CODES[n])
-
-
-def _constant_codes() -> tuple[int, int]:
-    """Red, blue, alpha and distance codes of grey images, each of one symbol."""
-    out = BitWriter()
-    for symbol, size in ((0, 256), (0, 256), (255, 256), (0, DISTANCES)):
-        write_code(out, [int(s == symbol) for s in range(size)])
-    return out.value, out.at
-
-
-CONSTANT_CODES = _constant_codes()
+        return [(1, 1), (0, 1), (not small, 1), (used[0], 1 if small else 8)]
+    out = [(0, 1), (len(CODE_LENGTH_ORDER) - 4, 4), *[(HELPER[s], 3) for s in CODE_LENGTH_ORDER], (0, 1)]
+    at = 0
+    for s in [*used, len(lengths)]:
+        gap = s - at
+        while gap >= 3:
+            run = min(gap, 138)
+            out.append(HELPER_CODES[18 if run >= 11 else 17])
+            out.append((run - (11 if run >= 11 else 3), 7 if run >= 11 else 3))
+            gap -= run
+        out += [HELPER_CODES[0]] * gap
+        if s < len(lengths):
+            out.append(HELPER_CODES[lengths[s]])
+        at = s + 1
+    return out
+
+
+def write_code(out: BitWriter, lengths: list[int]) -> None:
+    for part in code_parts(lengths):
+        out.write(*part)
 
 
 def container(stream: bytes) -> bytes:
@@ -521,30 +428,280 @@ def container(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def encode_grey(samples: np.ndarray, width: int) -> bytes:
-    """A WebP file of 8-bit samples as grey pixels, ``width`` to a row."""
-    height = len(samples) // width
-    if height * width != len(samples) or not 0 < height <= MAX_SIDE or width > MAX_SIDE:
-        raise ValueError("the samples don't fill the rows of one image")
-    lengths = code_lengths(np.bincount(samples, minlength=GREEN + LENGTHS))
-    head = BitWriter()
-    for value, n in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 4), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1)):
-        head.write(value, n)
-    write_code(head, lengths)
-    head.write(*CONSTANT_CODES)
-    codes = canonical(lengths)
-    value, bits = np.zeros(GREEN, np.uint64), np.zeros(GREEN, np.int64)
-    for s, (c, n) in codes.items():
-        value[s], bits[s] = c, n
-    n = bits[samples]
-    ends = np.cumsum(n) + head.at
-    at = ends - n
-    shifted = value[samples] << (at & 31).astype(np.uint64)
+# The encoder. Candidates are measured over a batch of images at once, streams are written one by one.
+
+#: Predictor modes that are tried, transforms' block (the largest, so that one block holds a whole image),
+#: shortest back-reference, smallest image with a colour cache, and largest cache in bits.
+MODES, BLOCK_BITS = (1, 2, 12), 9
+SHORTEST, CACHED_PIXELS, CACHE_BITS = 3, 64, 9
+HASH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def entropies(image: np.ndarray, symbols: np.ndarray, images: int, alphabet: int = 256) -> np.ndarray:
+    """Bits that each image's symbols need under a code of their own, the code's own bits included."""
+    counts = np.bincount(image * alphabet + symbols, minlength=images * alphabet).reshape(images, alphabet)
+    total = counts.sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        each = np.where(counts > 0, counts * np.log2(counts), 0.0).sum(axis=1)
+        body = np.where(total > 0, total * np.log2(np.maximum(total, 1)) - each, 0.0)
+    return body + 6.0 * (counts > 0).sum(axis=1)
+
+
+class Batch:
+    """Images of ``width`` pixels to a row, whose samples stand one after the other."""
+
+    def __init__(self, samples: list[np.ndarray], width: int):
+        self.width, self.pixels = width, np.array([len(s) // 3 for s in samples], np.int64)
+        self.begin = np.cumsum(self.pixels) - self.pixels
+        self.of = np.repeat(np.arange(len(samples)), self.pixels)
+        self.place = np.arange(len(self.of)) - self.begin[self.of]
+        self.rgb = np.concatenate(samples).reshape(-1, 3)
+
+    def cost(self, rgb: np.ndarray) -> np.ndarray:
+        return sum(entropies(self.of, rgb[:, c].astype(np.int64), len(self.pixels)) for c in range(3))
+
+    def predicted(self, mode: int) -> np.ndarray:
+        at, w = np.arange(len(self.of)), self.width
+        near = [self.rgb[np.maximum(at - d, 0)].astype(np.int16) for d in (1, w, w - 1, w + 1)]
+        guess = predict(mode, *near).astype(np.uint8)
+        first_row, first_column = self.place < w, self.place % w == 0
+        guess[first_row] = near[0][first_row]
+        guess[first_column] = near[1][first_column]
+        guess[self.place == 0] = 0
+        return self.rgb - guess
+
+    def factors(self) -> np.ndarray:
+        """(images, 2) cross-colour factors of red and of blue by green, in 32nds, by least squares."""
+        signed = self.rgb.view(np.int8).astype(np.float64)
+        n = np.maximum(self.pixels, 1)
+        mean = np.stack([np.add.reduceat(signed[:, c], self.begin) / n for c in range(3)], axis=1)
+        off = signed - mean[self.of]
+        spread = np.maximum(np.add.reduceat(off[:, 1] ** 2, self.begin), 1.0)
+        both = [np.add.reduceat(off[:, c] * off[:, 1], self.begin) / spread for c in (0, 2)]
+        return np.clip(np.rint(32 * np.stack(both, axis=1)), -128, 127).astype(np.int64)
+
+    def crossed(self, factors: np.ndarray) -> np.ndarray:
+        green, out = self.rgb[:, 1].view(np.int8).astype(np.int64), self.rgb.copy()
+        for c, k in ((0, 0), (2, 1)):
+            out[:, c] = (self.rgb[:, c] - (factors[self.of, k] * green >> 5)) & 255
+        return out
+
+    def argb(self, rgb: np.ndarray) -> np.ndarray:
+        c = rgb.astype(np.uint32)
+        return 0xFF000000 | c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2]
+
+
+def transformed(batch: Batch) -> list[tuple[list[tuple[int, int]], np.ndarray, int]]:
+    """For each image the parts that state its transforms, its pixels after them, and how many make a row."""
+    n = len(batch.pixels)
+    green = batch.rgb[:, 1:2]
+    less_green = batch.rgb - green * np.array([1, 0, 1], np.uint8)
+    factors = batch.factors()
+    forms = [batch.rgb, less_green, batch.crossed(factors), *[batch.predicted(m) for m in MODES]]
+    costs = np.stack([batch.cost(f) for f in forms], axis=1)
+    costs[:, 2:] += 48
+    # palettes: the distinct colours of every image, and the entropy of their numbers
+    plain = batch.argb(batch.rgb)
+    names, number, counts = np.unique(batch.of << 24 | (plain & 0xFFFFFF).astype(np.int64), return_inverse=True, return_counts=True)
+    owner = names >> 24
+    colours = np.bincount(owner, minlength=n)
+    body = batch.pixels * np.log2(batch.pixels) - np.bincount(owner, counts * np.log2(counts), n)
+    palette_cost = np.where(colours <= 256, body + 6.0 * colours + 20.0 * colours + 64, np.inf)
+    best, out = costs.argmin(axis=1), []
+    first_name = np.cumsum(colours) - colours
+    shaped = {k: plain if k == 0 else batch.argb(forms[k]) for k in np.unique(best).tolist()}
+    for k in shaped.keys() - {0, 1, 2}:  # alpha is predicted like any channel: nothing is left of it
+        shaped[k] &= np.uint32(0xFFFFFF)
+    for k in range(n):
+        a, z = int(batch.begin[k]), int(batch.begin[k] + batch.pixels[k])
+        form = int(best[k])
+        if palette_cost[k] < costs[k, form]:
+            palette = names[first_name[k] : first_name[k] + colours[k]].astype(np.int64) & 0xFFFFFF
+            out.append(bundled(palette, number[a:z] - first_name[k], batch.width))
+        elif form == 0:
+            out.append(([], shaped[0][a:z], batch.width))
+        elif form == 1:
+            out.append(([(1, 1), (SUBTRACT_GREEN, 2)], shaped[1][a:z], batch.width))
+        else:
+            kind = CROSS_COLOUR if form == 2 else PREDICTOR
+            data = (int(factors[k, 0]) & 255) | (int(factors[k, 1]) & 255) << 8 if form == 2 else MODES[form - 3] << 8
+            head = [(1, 1), (kind, 2), (BLOCK_BITS - 2, 3), *image_parts([0xFF000000 | data])]
+            height = (z - a) // batch.width
+            blocks = (-(-batch.width >> BLOCK_BITS) or 1, -(-height >> BLOCK_BITS) or 1)
+            if blocks != (1, 1):
+                raise ValueError("an image of the encoder is one block")
+            out.append((head, shaped[form][a:z], batch.width))
+    return out
+
+
+def image_parts(pixels: list[int]) -> list[tuple[int, int]]:
+    """A small image of literals, without a cache."""
+    out, codes = [(0, 1)], []
+    columns = [[p >> 8 & 255 for p in pixels], [p >> 16 & 255 for p in pixels], [p & 255 for p in pixels], [p >> 24 for p in pixels]]
+    for values, size in zip(columns, (GREEN + LENGTHS, 256, 256, 256)):
+        lengths = code_lengths(np.bincount(values, minlength=size))
+        out += code_parts(lengths)
+        codes.append(canonical(lengths))
+    out += code_parts([1] + [0] * (DISTANCES - 1))
+    for row in zip(*columns):
+        out += [code[v] for code, v in zip(codes, row)]
+    return out
+
+
+def bundled(palette: np.ndarray, index: np.ndarray, width: int) -> tuple[list[tuple[int, int]], np.ndarray, int]:
+    n = len(palette)
+    steps = channels((palette | 0xFF000000).astype("<u4").reshape(1, -1)).copy()
+    steps[0, 1:] -= steps[0, :-1].copy()
+    head = [(1, 1), (PALETTE, 2), (n - 1, 8), *image_parts(steps.view("<u4").ravel().tolist())]
+    bundle = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+    depth, per = 8 >> bundle, 1 << bundle
+    across = -(-width // per)
+    rows = np.zeros((len(index) // width, across * per), np.int64)
+    rows[:, :width] = index.reshape(-1, width)
+    green = (rows.reshape(len(rows), across, per) << np.arange(per) * depth).sum(axis=-1)
+    return head, (0xFF000000 | green.ravel() << 8).astype(np.uint32), across
+
+
+def references(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, pixels, distance) of back-references, the nearest earlier three equal pixels beginning each."""
+    if len(pixels) <= SHORTEST:
+        return []
+    wide = pixels.astype(np.uint64)
+    key = wide[:-2] * HASH[0] ^ wide[1:-1] * HASH[1] ^ wide[2:] * HASH[2]
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    before = np.full(len(key), -1)
+    before[order[same + 1]] = order[same]
+    out, at, n = [], 0, len(pixels)
+    for c in np.flatnonzero(before >= 0).tolist():
+        if c < at:
+            continue
+        p, size, step = int(before[c]), 0, 16
+        while True:
+            m = min(step, n - c - size, 4096 - size)
+            unequal = np.flatnonzero(pixels[p + size : p + size + m] != pixels[c + size : c + size + m])
+            if len(unequal) or not m:
+                size += int(unequal[0]) if len(unequal) else 0
+                break
+            size, step = size + m, 4 * step
+        if size >= SHORTEST:
+            out.append((c, size, c - p))
+            at = c + size
+    return out
+
+
+def cache_hits(pixels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's place in the colour cache, and whether the cache holds it there when its turn comes."""
+    slot = ((pixels * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - bits)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    again = np.zeros(len(pixels), bool)
+    again[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    return slot, again
+
+
+def amount(value: int) -> tuple[int, int, int]:
+    """A length or distance as its prefix symbol, extra bits and how many those are."""
+    if value <= 4:
+        return value - 1, 0, 0
+    top = (value - 1).bit_length() - 1
+    return 2 * top + ((value - 1) >> (top - 1) & 1), (value - 1) & ((1 << (top - 1)) - 1), top - 1
+
+
+_SHORT: dict[int, dict[int, int]] = {}
+
+
+def distance_code(distance: int, width: int) -> int:
+    """The short code of a distance where one has it, else the distance behind those codes."""
+    if width not in _SHORT:
+        found: dict[int, int] = {}
+        for k, (dx, dy) in enumerate(near_offsets()):
+            found.setdefault(max(1, dx + dy * width), k + 1)
+        _SHORT[width] = found
+    return _SHORT[width].get(distance, distance + 120)
+
+
+def packed(values: np.ndarray, bits: np.ndarray) -> bytes:
+    """Values of up to 32 bits one after the other, least significant bits first."""
+    ends = np.cumsum(bits)
+    at = ends - bits
+    shifted = values.astype(np.uint64) << (at & 31).astype(np.uint64)
     size = int(ends[-1]) // 32 + 2
     words = np.bincount(at >> 5, (shifted & 0xFFFFFFFF).astype(np.float64), size)
     words += np.bincount((at >> 5) + 1, (shifted >> 32).astype(np.float64), size)
-    stream = bytearray(words.astype("<u4").tobytes()[: (int(ends[-1]) + 7) // 8])
-    front = head.value.to_bytes((head.at + 7) // 8, "little")
-    for k, b in enumerate(front):
-        stream[k] |= b
-    return container(bytes(stream))
+    return words.astype("<u4").tobytes()[: (int(ends[-1]) + 7) // 8]
+
+
+def stream_of(width: int, height: int, transforms: list[tuple[int, int]], pixels: np.ndarray, across: int) -> bytes:
+    """A VP8L stream of already transformed pixels, ``across`` to a row."""
+    copies = references(pixels)
+    literal = np.ones(len(pixels), bool)
+    for at, size, _ in copies:
+        literal[at : at + size] = False
+    green, red, blue = (pixels >> 8 & 255).astype(np.int64), (pixels >> 16 & 255).astype(np.int64), (pixels & 255).astype(np.int64)
+    bits = min(CACHE_BITS, len(pixels).bit_length() - 2) if len(pixels) >= CACHED_PIXELS else 0
+    cached = np.zeros(len(pixels), bool)
+    if bits:
+        slot, again = cache_hits(pixels, bits)
+        hits = literal & again
+        one = np.zeros(int(literal.sum()), np.int64)
+        plain = sum(entropies(one, x[literal], 1)[0] for x in (green, red, blue))
+        rest, none = literal & ~hits, np.zeros(int((literal & ~hits).sum()), np.int64)
+        symbols = np.where(hits, GREEN + LENGTHS + slot, green)[literal]
+        with_cache = entropies(one, symbols, 1, GREEN + LENGTHS + (1 << bits))[0] + sum(entropies(none, x[rest], 1)[0] for x in (red, blue))
+        if with_cache < plain:
+            cached, green = hits, np.where(hits, GREEN + LENGTHS + slot, green)
+        else:
+            bits = 0
+    literal &= ~cached
+    # one row for each token: up to four parts of value and bits
+    starts = np.flatnonzero(literal | cached)
+    places = np.concatenate([starts, np.array([c for c, _, _ in copies], np.int64)])
+    whole = [amount(size) for _, size, _ in copies]
+    far = [amount(distance_code(d, across)) for _, _, d in copies]
+    symbols = np.concatenate([green[starts], np.array([GREEN + s for s, _, _ in whole], np.int64)])
+    sizes = (GREEN + LENGTHS + (1 << bits if bits else 0), 256, 256, DISTANCES)
+    used = (symbols, red[literal], blue[literal], np.array([s for s, _, _ in far], np.int64))
+    lengths = [code_lengths(np.bincount(u if len(u) else [0], minlength=n)) for u, n in zip(used, sizes)]
+    alpha = int(pixels[0] >> 24)
+    if not (pixels >> 24 == alpha).all():
+        raise ValueError("the encoder writes one alpha")
+    lengths.insert(3, [int(k == alpha) for k in range(256)])
+    value, size = [], []
+    for n in lengths:
+        codes = canonical(n)
+        v, b = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        for s, (c, m) in codes.items():
+            v[s], b[s] = c, m
+        value.append(v)
+        size.append(b)
+    parts, widths = np.zeros((len(places), 4), np.int64), np.zeros((len(places), 4), np.int64)
+    parts[:, 0], widths[:, 0] = value[0][symbols], size[0][symbols]
+    own = np.flatnonzero(literal[starts])
+    at = starts[own]
+    parts[own, 1], widths[own, 1] = value[1][red[at]], size[1][red[at]]
+    parts[own, 2], widths[own, 2] = value[2][blue[at]], size[2][blue[at]]
+    if copies:
+        k = slice(len(starts), None)
+        parts[k, 1], widths[k, 1] = [x for _, x, _ in whole], [n for _, _, n in whole]
+        symbol = np.array([s for s, _, _ in far])
+        parts[k, 2], widths[k, 2] = value[4][symbol], size[4][symbol]
+        parts[k, 3], widths[k, 3] = [x for _, x, _ in far], [n for _, _, n in far]
+    order = np.argsort(places, kind="stable")
+    head = [(SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 4), *transforms, (0, 1)]
+    head += [(1, 1), (bits, 4)] if bits else [(0, 1)]
+    head.append((0, 1))
+    for n in lengths:
+        head += code_parts(n)
+    front = np.array(head, np.int64)
+    return packed(np.concatenate([front[:, 0], parts[order].ravel()]), np.concatenate([front[:, 1], widths[order].ravel()]))
+
+
+def encode_many(samples: list[np.ndarray], width: int) -> list[bytes]:
+    """WebP files of 8-bit samples, three to a pixel (red, green, blue), ``width`` pixels to a row."""
+    if not samples:
+        return []
+    for s in samples:
+        if not len(s) or len(s) % (3 * width) or not len(s) <= 3 * width * (1 << BLOCK_BITS) or width > 1 << BLOCK_BITS:
+            raise ValueError("the samples don't fill the rows of one image of the encoder")
+    made = transformed(Batch(samples, width))
+    return [container(stream_of(width, len(s) // (3 * width), *m)) for s, m in zip(samples, made)]
