@@ -69,7 +69,7 @@ def test_review_then_commit_then_rows(stored, spark):
     assert (table, df.count(), df.columns[0], df.columns[-1]) == ("extract_invoices_demo", 31, "document", "_needs_review")
     assert "customer" in df.columns and dict(df.dtypes)["total_due"] == "decimal(16,2)" and dict(df.dtypes)["invoice_date"] == "date"
     assert df.filter("invoice_date is null or total_due is null").count() == 0
-    assert rows.total(df, "northwind") == 7
+    assert rows.total(df, "alderbrook") == 7
     top = rows.rows(df, sort="total_due", direction="desc", limit=3).collect()
     assert [r["total_due"] for r in top] == sorted((r["total_due"] for r in df.collect()), reverse=True)[:3]
     assert store.status() == "committed" and store.table_of(0).count() == 31 and store.table_of(1) is None
