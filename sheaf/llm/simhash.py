@@ -4,7 +4,8 @@
 distinct fingerprints within ``max_bits`` of each other:
 
 1. meeting: of five disjoint blocks of bits, a pair within 3 bits agrees on at least two, so ten keys
-   (one for each two blocks) bring every such pair into one bucket, exactly and by equi-join;
+   (one for each two blocks) bring every such pair into one bucket, exactly and by equi-join; more
+   fingerprints are cut into more blocks, for wider keys and buckets of the same size;
 2. pivot tables: each bucket member carries its Hamming distances to ``PIVOTS`` reference fingerprints,
    worked out once; by the triangle inequality a pair whose distances to any reference differ by more
    than ``max_bits`` can't be near, and is discarded;
@@ -41,8 +42,12 @@ from sheaf.plans.staging import stage
 SEED = 42
 SMALL = 32
 BLOCK = 2048
-#: Block widths of the meeting keys; more blocks than twice max_bits leave two of them untouched.
-WIDTHS = (13, 13, 13, 13, 12)
+#: Shares into which the neighbours of one node are dealt.
+SALTS = 64
+#: Bits that a pair may differ in, and (most fingerprints, blocks, blocks of a key) of the meeting keys: of
+#: five blocks 3 bits leave two untouched, of six three, of eight five, so keys grow wider with the rows.
+MAX_BITS = 3
+MEETINGS = ((1 << 26, 5, 2), (1 << 33, 6, 3), (1 << 63, 8, 5))
 MASK64 = (1 << 64) - 1
 
 
@@ -58,21 +63,36 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def simhash(text: str | None, shingle_words: int = 3, chunk: int = 1 << 15) -> int:
-    """The unsigned fingerprint of a whole text. Only A-Z are lower-cased; words split at ASCII space."""
+def shingle_hashes(text: str | None, shingle_words: int, chunk: int = 1 << 15) -> np.ndarray:
+    """XXH64 of every shingle of a whole text, repeats included; fewer words than a shingle are one.
+
+    Only A-Z are lower-cased; words split at ASCII space.
+    """
     words = text.encode("utf-8", "replace").lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - shingle_words + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
     stops = (ends - 1)[min(shingle_words, len(words)) - 1 :].tolist()
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest, out = xxhash.xxh64_intdigest, np.empty(n, np.uint64)
     for at in range(0, n, chunk):
-        part = [digest(joined[a:b], SEED) for a, b in zip(starts[at : at + chunk], stops[at : at + chunk])]
-        raw = np.array(part, dtype="<u8").view(np.uint8).reshape(-1, 8)
+        out[at : at + chunk] = [digest(joined[a:b], SEED) for a, b in zip(starts[at : at + chunk], stops[at : at + chunk])]
+    return out
+
+
+def fingerprint_of(hashes: np.ndarray, chunk: int = 1 << 15) -> int:
+    """The unsigned fingerprint: a bit is 1 if it is set in over half of the hashes."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), chunk):
+        raw = hashes[at : at + chunk].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << int(i) for i in np.flatnonzero(2 * votes > n)))
+    return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def simhash(text: str | None, shingle_words: int = 3) -> int:
+    """The unsigned fingerprint of a whole text; 0 for one without words."""
+    return fingerprint_of(shingle_hashes(text, shingle_words))
 
 
 def fingerprint_column(text: str, shingle_words: int = 3) -> Column:
@@ -93,16 +113,30 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def bucket_keys(fp: str = "fp") -> Column:
-    """Array of the ten meeting keys: number of the pair of blocks, then both blocks' bits."""
-    lows = [sum(WIDTHS[:i]) for i in range(len(WIDTHS))]
-    bits = [F.shiftrightunsigned(F.col(fp), lo).bitwiseAND(F.lit((1 << w) - 1)) for lo, w in zip(lows, WIDTHS)]
+def block_bounds(blocks: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of so many blocks of the 64 bits, as equal as can be."""
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def bucket_keys(fp: str = "fp", blocks: int = 5, agree: int = 2) -> Column:
+    """Array of the meeting keys: for each choice of blocks its number and the blocks' bits."""
+    bounds = block_bounds(blocks)
     keys = []
-    for k, (i, j) in enumerate(combinations(range(len(WIDTHS)), 2)):
-        keys.append(F.lit(k << 32).bitwiseOR(F.shiftleft(bits[i], 16)).bitwiseOR(bits[j]))
+    for k, chosen in enumerate(combinations(bounds, agree)):
+        key = F.lit(k).cast("bigint")
+        for lo, width in chosen:
+            bits = F.shiftrightunsigned(F.col(fp), lo).bitwiseAND(F.lit((1 << width) - 1))
+            key = F.shiftleft(key, width).bitwiseOR(bits)
+        keys.append(key)
     return F.array(*keys)
 
 
+def meeting(n: int) -> tuple[int, int]:
+    """(blocks, blocks of a key) for n distinct fingerprints."""
+    return next((blocks, agree) for most, blocks, agree in MEETINGS if n <= most)
+
+
 def pivot_columns(fp: str = "fp") -> list[Column]:
     return [hamming(F.col(fp), F.lit(signed(p))).cast("tinyint").alias(f"p{i}") for i, p in enumerate(PIVOTS)]
 
@@ -155,9 +189,9 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
     fps: one row for each distinct fingerprint, in column ``fp``. max_bits may be 0 to 3.
     """
-    if not 0 <= max_bits <= len(WIDTHS) - 2:
+    if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the meeting keys hold for at most 3 differing bits")
-    keyed = fps.select("fp", F.explode(bucket_keys()).alias("key"))
+    keyed = fps.select("fp", F.explode(bucket_keys("fp", *meeting(fps.count()))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stage(keyed.join(shared, "key").select("key", "n", "fp", *pivot_columns()), "simhash-members")
 
@@ -184,12 +218,18 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours go to the least of its neighbourhood."""
+    """Every node's larger neighbours go to the least of its neighbourhood.
+
+    The least is met by (node, salt): a node with many neighbours has as many rows of it as salts, so its
+    neighbours are dealt over tasks.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return (
-        both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), F.col("b")).filter("a < b").distinct()
-    )
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+    salted = both.groupBy("a", salt.alias("salt")).agg(F.min("b").alias("m"))
+    least = salted.groupBy("a").agg(F.least(F.min("m"), F.col("a")).alias("m"), F.collect_list("salt").alias("salts"))
+    met = least.select("a", "m", F.explode("salts").alias("salt"))
+    larger = both.filter("b > a").withColumn("salt", salt)
+    return larger.join(met, ["a", "salt"]).select(F.col("m").alias("a"), F.col("b")).filter("a < b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -238,18 +278,22 @@ def keep_one(docs: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def chosen_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each id of ``chosen``, and every row without an id."""
-    nameless = docs.filter("doc_id is null")
-    kept = docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
+    """One row of ``docs`` for each id of ``chosen``, and every row without an id.
+
+    The ids to leave out are joined, not those to keep: they are the fewer ones, so that the texts are
+    often not shuffled (Spark broadcasts them if they come out small).
+    """
     ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    repeated = stage(ids.filter("n > 1").select("doc_id"), "simhash-repeated")
+    gone = stage(ids.join(chosen, "doc_id", "left_anti").select("doc_id"), "simhash-gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = stage(ids.filter("n > 1").join(chosen, "doc_id", "left_semi").select("doc_id"), "simhash-repeated")
     if repeated.isEmpty():  # the usual case needs no further pass over the texts
-        return kept.unionByName(nameless)
+        return kept
     single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    twice = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    least = twice.withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k")
-    return single.unionByName(least).unionByName(nameless)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    twice = kept.join(repeated, "doc_id", "left_semi")
+    least = twice.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("r")).select("doc_id", "r.*")
+    return single.unionByName(least.select(*docs.columns))
 
 
 def hex_fingerprint(fp: Column) -> Column:
