@@ -7,6 +7,7 @@ that a task holds a bounded number of texts at once however the session sizes it
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -29,6 +30,14 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, SLICE_ROWS)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task; a worker goes on to other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _carried(docs: DataFrame, keep: Sequence[str], text: str, added: str) -> tuple[DataFrame, StructType]:
     new = StructType.fromDDL(added)
     schema = StructType([*docs.select(*keep).schema.fields, *new.fields])
@@ -46,6 +55,8 @@ def with_results(docs: DataFrame, keep: Sequence[str], added: str, start: OneToO
         for b in sliced(batches):
             made = work(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], *[pa.array(m, t) for m, t in zip(made, types)]], names)
+        del work
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -66,5 +77,7 @@ def with_many(docs: DataFrame, keep: Sequence[str], added: str, start: OneToMany
                 at = pa.array(of, pa.int32())
                 yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in keep], *[pa.array(m, t) for m, t in zip(made, types)]], names)
         getattr(work, "close", lambda: None)()
+        del work
+        give_back()
 
     return rows.mapInArrow(run, schema)

@@ -12,13 +12,12 @@ plain BPE model. Ids are kept as little-endian unsigned 32-bit bytes.
 
 from __future__ import annotations
 
-import json
 import re
 from functools import lru_cache
 
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 REGULAR_SPACE = re.compile(r"(?<=\S)(?= \S)")
 TRAILING = frozenset(".,;:!?")
 
@@ -30,21 +29,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def cuts_at_spaces(settings: dict) -> bool:
-    """Whether a tokenizer file's settings are those for which texts may be cut."""
-    before, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
-    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-    return (
-        plain and model.get("type") == "BPE"
-        and not any(settings.get(k) for k in ("normalizer", "truncation", "padding"))
-        and before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
-    )
+def cuts_at_spaces(library: Tokenizer) -> bool:
+    """Whether a tokenizer's settings are those for which texts may be cut."""
+    before, model = library.pre_tokenizer, library.model
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    plain = isinstance(model, models.BPE) and not any(getattr(model, k) for k in odd)
+    regular = isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space
+    return plain and regular and library.normalizer is None and library.truncation is None and library.padding is None
 
 
 class ChunkedBpe:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.cuts = cuts_at_spaces(json.loads(self.library.to_str()))
+        self.cuts = cuts_at_spaces(self.library)
         self.model = self.library.model
         self.letters = _byte_letters()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
