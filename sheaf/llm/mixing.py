@@ -9,19 +9,22 @@ Queue: each source's documents are shuffled by the md5 of their id. A document's
 its source's words up to and including it, divided by the source's target; a second epoch starts where
 the first ends. All entries are ordered by finish time and taken until the total budget is spent. Order
 and truncation are distributed: words are summed by slices of finish time, the slice in which the budget
-ends is found from those sums, and only that slice is looked at row by row.
+ends is found from those sums and sliced again until it holds at most ``EDGE_ROWS`` rows; only those are
+looked at one by one.
 
 No step gathers a source: running sums go over (source, bucket of the shuffle) and then over the few
 bucket totals. The oracle SQL states the same with plain windows.
 
 Cases: a null text has size 0; null sources form one source, the last; repeated rows count each, side
-by side in the queue; when there is no word at all every target and take is 0; an empty table gives an
-empty result; extra columns are ignored.
+by side in the queue; null ids are one id; when there is no word at all every target and take is 0; an empty
+table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.plans.staging import stage
@@ -32,6 +35,9 @@ MAX_EPOCHS = 2
 #: Rows that a shuffle bucket of a source holds, about, and slices of one unit of finish time.
 BUCKET_ROWS = 20_000
 SLICES = 4096
+#: Rows of a slice that are put in order at once, and the finest slices of a unit of finish time.
+EDGE_ROWS, FINEST = 100_000, 1 << 48
+LATEST = 64.0
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -90,6 +96,33 @@ def queue(sized: DataFrame, aims: DataFrame) -> DataFrame:
     return joined.select("doc_id", "source", "rank", "key", "size", "source_size", "target", (F.col("base") + F.col("run")).alias("done"))
 
 
+def slice_of(finish, scale: int):
+    return (F.least(finish, F.lit(LATEST)) * scale).cast("long")
+
+
+def cut(entries: DataFrame, budget: float):
+    """Where the budget ends in the order of finish: ((slices of a unit, first slice not whole), last entry taken).
+
+    Without a first part every entry is taken; without a second one that slice gives nothing.
+    """
+    scale, room, part = SLICES, budget, entries
+    while True:
+        sliced = part.withColumn("slice", slice_of(F.col("finish"), scale))
+        sums = sliced.groupBy("slice").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+        over = sums.withColumn("upto", F.sum("words").over(Window.orderBy("slice"))).filter(F.col("upto") > room).orderBy("slice").first()
+        if over is None:
+            return None, None
+        room -= over["upto"] - over["words"]
+        part = sliced.filter(F.col("slice") == over["slice"]).drop("slice")
+        if over["n"] <= EDGE_ROWS or scale >= FINEST:
+            break
+        scale *= SLICES
+    order = Window.orderBy("finish", "rank", "key", "doc_id", "epoch", "size").rowsBetween(Window.unboundedPreceding, 0)
+    kept = part.withColumn("upto", F.sum("size").over(order)).filter(F.col("upto") <= room)
+    last = kept.orderBy(*[F.col(c).desc() for c in ("finish", "rank", "key", "doc_id", "epoch")]).first()
+    return (scale, over["slice"]), last
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted) of every row."""
     sized = sizes(docs)
@@ -100,51 +133,58 @@ def mix(docs: DataFrame) -> DataFrame:
     epochs = F.explode(F.sequence(F.lit(0), F.lit(MAX_EPOCHS - 1))).alias("epoch")
     entries = lined.filter("target > 0").select("rank", "key", "doc_id", "size", "source_size", "target", "done", epochs)
     finish = (F.col("epoch") * F.col("source_size") + F.col("done")) / F.col("target")
-    entries = entries.select("rank", "key", "doc_id", "size", "epoch", finish.alias("finish"))
-    entries = entries.withColumn("slice", F.least(F.col("finish") * SLICES, F.lit(64.0 * SLICES)).cast("int"))
-    sums = entries.groupBy("slice").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.orderBy("slice"))
-    over = sums.withColumn("upto", upto).filter(F.col("upto") > budget).orderBy("slice").first()
-    if over is None:
-        last = None
-    else:
-        room = budget - (over["upto"] - over["words"])
-        edge = entries.filter(F.col("slice") == over["slice"])
-        order = Window.orderBy("finish", "rank", "key", "doc_id", "epoch", "size").rowsBetween(Window.unboundedPreceding, 0)
-        kept = edge.withColumn("upto", F.sum("size").over(order)).filter(F.col("upto") <= room)
-        last = kept.orderBy(*[F.col(c).desc() for c in ("finish", "rank", "key", "doc_id", "epoch")]).first()
+    entries = entries.select("rank", "key", "doc_id", "size", "epoch", finish.alias("finish")).filter("size > 0")
+    bound, last = cut(entries, budget)
     times = F.lit(0)
     for epoch in range(MAX_EPOCHS):
         at = (F.lit(epoch) * F.col("source_size") + F.col("done")) / F.col("target")
-        if over is None:
-            taken = F.lit(True)
-        else:
-            taken = F.least(at * SLICES, F.lit(64.0 * SLICES)).cast("int") < over["slice"]
-            if last is not None:
-                entry = F.struct(at.alias("f"), F.col("rank"), F.col("key"), F.col("doc_id"), F.lit(epoch).alias("e"))
-                end = F.struct(
-                    F.lit(last["finish"]).alias("f"), F.lit(last["rank"]).alias("rank"), F.lit(last["key"]).alias("key"),
-                    F.lit(last["doc_id"]).cast("long").alias("doc_id"), F.lit(last["epoch"]).alias("e"),
-                )
-                taken = taken | (entry <= end)
+        taken = F.lit(True)
+        if bound is not None:
+            taken = slice_of(at, bound[0]) < bound[1]
+        if last is not None:
+            entry = F.struct(at.alias("f"), F.col("rank"), F.col("key"), F.col("doc_id"), F.lit(epoch).alias("e"))
+            end = F.struct(
+                F.lit(last["finish"]).alias("f"), F.lit(last["rank"]).alias("rank"), F.lit(last["key"]).alias("key"),
+                F.lit(last["doc_id"]).cast("long").alias("doc_id"), F.lit(last["epoch"]).alias("e"),
+            )
+            taken = taken | (entry <= end)
         times = times + F.when((F.col("target") > 0) & taken, 1).otherwise(0)
     taken = (times * F.col("size")).cast("long").alias("taken")
     return lined.select("doc_id", "source", "size", "source_size", "target", taken)
 
 
+GROUP = ("__known", "__id", "__has", "__source", "__size")
+
+
+def grouped(doc_id, source, size) -> list:
+    """Columns of GROUP without nulls: what tells rows of the mixture apart."""
+    parts = (doc_id.isNotNull(), F.coalesce(doc_id.cast("long"), F.lit(0)), source.isNotNull(), F.coalesce(source, F.lit("")), size)
+    return [p.alias(n) for p, n in zip(parts, GROUP)]
+
+
 def sample_documents(docs: DataFrame) -> DataFrame:
     """``docs`` repeated as often as the mixture takes each: rows not taken go, some come twice.
 
-    Rows of one id are told apart by their place in the queue, so each keeps its own number of copies.
+    Rows of one id, source and size nearly always come equally often, and then one row of the mixture
+    speaks for them. In the few groups in which the mixture ends, the rows with the least texts come more often.
     """
-    taken = mix(docs).filter("taken > 0").select("doc_id", "source", "size", (F.col("taken") / F.col("size")).cast("int").alias("__n"))
-    number = Window.partitionBy("doc_id", "source", "size")
-    taken = taken.withColumn("__k", F.row_number().over(number.orderBy(F.col("__n").desc())))
-    sized = docs.withColumn("size", word_count("text"))
-    sized = sized.withColumn("__k", F.row_number().over(number.orderBy("text")))
-    on = [sized[c].eqNullSafe(taken[c]) for c in ("doc_id", "source", "size", "__k")]
-    both = sized.join(taken, on[0] & on[1] & on[2] & on[3])
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[sized[c] for c in docs.columns])
+    columns, epochs = docs.columns, range(1, MAX_EPOCHS + 1)
+    times = (F.col("taken") / F.col("size")).cast("int").alias("__n")
+    mixed = mix(docs).filter("size > 0").select(*grouped(F.col("doc_id"), F.col("source"), F.col("size")), times)
+    often = [F.count_if(F.col("__n") >= e).alias(f"__{e}") for e in epochs]  # how many rows come so often or more
+    groups = stage(mixed.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("__rows"), *often).filter("__1 > 0"), "mix-groups")
+    level = [(F.col(f"__{e}") == 0) | (F.col(f"__{e}") == F.col("__rows")) for e in epochs]
+    is_even = reduce(Column.__and__, level)
+    rows = docs.select(*grouped(F.col("doc_id"), F.col("source"), word_count("text")), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"))
+    n = sum([F.when(F.col(f"__{e}") > 0, 1).otherwise(0) for e in epochs], F.lit(0))
+    even = rows.join(groups.filter(is_even).select(*GROUP, n.alias("__n")), list(GROUP)).select("__row", "__n")
+    uneven = groups.filter(~is_even)
+    if not uneven.isEmpty():
+        met = rows.join(uneven, list(GROUP)).withColumn("__k", F.row_number().over(Window.partitionBy(*GROUP).orderBy("__row.text")))
+        own = sum([F.when(F.col("__k") <= F.col(f"__{e}"), 1).otherwise(0) for e in epochs], F.lit(0))
+        even = even.unionByName(met.select("__row", own.alias("__n")).filter("__n > 0"))
+    copies = even.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    return copies.select(*[F.col("__row")[c].alias(c) for c in columns])
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -1,37 +1,42 @@
 """Document fingerprints: threshold-scaled sketches, in DataFrame functions alone.
 
 A text's shingles are its runs of ``SHINGLE`` words (split at ASCII space; a shorter text is one
-shingle). Each is hashed to 64 bits, and every hash below the fraction 1/``SCALE`` of the range is kept.
-Sketches of the same scale can be merged by union, and the share of one sketch found in another
-estimates containment however unequal the documents are.
-
-A text of at most ``SMALL`` distinct shingles keeps all of them (scale 1), for an eighth of a few is too
-few to compare; any other keeps its ``FEW`` smallest hashes at least. Two sketches of different scales are
-compared at the coarser one, by dropping the hashes at or over its threshold, as sketches of this kind
-allow. Where fewer than ``FEW`` hashes of either are left there, a sketch can't tell, and the two texts'
-whole sets of shingles are compared instead.
-
-Cases: a null text counts as empty and has an empty sketch, written ``1:``; likeness is the share of the
-smaller sketch found in the other, 1 for two empty texts and 0 where one is empty and the other isn't;
-rows of one doc_id stand in the order of their texts, rows without an id before all others; the document
-after the last is the first, so a single one follows itself; extra columns are ignored.
+shingle). Each is hashed to 64 bits, and every hash below the fixed fraction 1/``SCALE`` of the range is
+kept, of texts of every length alike. Sketches can be merged by union, and the share of one sketch found
+in another estimates containment however unequal the documents are.
+
+That no text is without a hash, the ``FEW`` smallest are kept even where they lie over the threshold;
+comparisons leave those out. Where fewer than ``FEW`` hashes of either text lie under the threshold, a
+sketch can't tell, and the two texts' whole sets of shingles are compared instead.
+
+The next document is found from ids and digests of the texts alone: these are dealt by ranges of their
+order (sampled, so neither wide nor outlying ids matter), each range is numbered by itself, and one row
+for each range closes the ring. Texts then meet by two equi-joins.
+
+Cases: a null text counts as empty and has an empty sketch, written ``4:``; likeness is the share of the
+smaller set found in the other, 1 for two empty texts and 0 where one is empty and the other isn't;
+rows of one doc_id stand in the order of their texts' MD5, rows without an id before all others; rows
+repeated whole follow one another; the document after the last is the first, so a single one follows
+itself; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.plans.staging import stage
+
 SHINGLE = 5
-SCALE = 8
-SMALL = 64
-#: Hashes that a sketch of scale SCALE has at least, and that a comparison at that scale needs.
-FEW = 8
+SCALE = 4
+#: Hashes that every sketch has (if its text has as many), and that a comparison of sketches needs.
+FEW = 16
 FLOOR = -(1 << 63)
-#: Documents that one range of ids holds, about, and tail rows that are broadcast at most.
-RANGE_ROWS = 4096
-BROADCAST_TAILS = 500_000
 SPACE = "[\\x20\\x09-\\x0D]+"
+#: The order of documents: without an id first, then by id, then by the text's digest.
+KEY = ("__known", "__id", "__digest")
 
 
 def below(hashes: Column, scale: int = SCALE) -> Column:
@@ -53,18 +58,15 @@ def shingles_of(text: str) -> Column:
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds struct ``name``: ``full`` (scale 1) and ``hashes`` (sorted, distinct)."""
+    """Adds ``name``: the sorted distinct hashes that the sketch of a text keeps."""
     hashed = df.withColumn("__shingles", F.sort_array(shingles_of(text)))
-    full = F.size("__shingles") <= SMALL
-    cut = F.transform(F.array(below(F.col("__shingles"))), lambda x: F.when(F.size(x) >= FEW, x).otherwise(F.slice("__shingles", 1, FEW)))[0]
-    kept = F.when(full, F.col("__shingles")).otherwise(cut)
-    return hashed.withColumn(name, F.struct(full.alias("full"), kept.alias("hashes"))).drop("__shingles")
+    kept = F.transform(F.array(below(F.col("__shingles"))), lambda x: F.when(F.size(x) >= FEW, x).otherwise(F.slice("__shingles", 1, FEW)))[0]
+    return hashed.withColumn(name, kept).drop("__shingles")
 
 
 def shown(sketch: str) -> Column:
-    """A sketch as text: its scale and the hashes as 16 hexadecimal digits each."""
-    scale = F.when(F.col(f"{sketch}.full"), "1:").otherwise(f"{SCALE}:")
-    return F.concat(scale, F.array_join(F.transform(f"{sketch}.hashes", lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), ""))
+    """A sketch as text: the scale and the hashes as 16 hexadecimal digits each."""
+    return F.concat(F.lit(f"{SCALE}:"), F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), ""))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -75,54 +77,65 @@ def containment(a: Column, b: Column) -> Column:
 
 def with_likeness(df: DataFrame, a: str, b: str, name: str, texts: tuple[str, str]) -> DataFrame:
     """Adds ``name``: how alike the sketches a and b are, or their texts where the sketches can't tell."""
-    full = F.col(f"{a}.full") & F.col(f"{b}.full")
-    sides = [F.when(full, F.col(f"{x}.hashes")).otherwise(below(F.col(f"{x}.hashes"))) for x in (a, b)]
-    with_sides = df.withColumns({"__a": sides[0], "__b": sides[1]})
+    with_sides = df.withColumns({"__a": below(F.col(a)), "__b": below(F.col(b))})
     enough = F.least(F.size("__a"), F.size("__b")) >= FEW
     both = F.array(F.struct(shingles_of(texts[0]).alias("x"), shingles_of(texts[1]).alias("y")))
     whole = F.transform(both, lambda p: containment(p["x"], p["y"]))[0]
-    got = F.when(full | enough, containment(F.col("__a"), F.col("__b"))).otherwise(whole)
+    got = F.when(enough, containment(F.col("__a"), F.col("__b"))).otherwise(whole)
     return with_sides.withColumn(name, got).drop("__a", "__b")
 
 
-def with_following(rows: DataFrame, id: str, text: str, carried: list[str], name: str) -> DataFrame:
-    """Adds ``name``: a struct of the carried columns of the next row in descending order of the id.
+def same_key(a: str, b: str) -> Column:
+    return reduce(Column.__and__, [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in KEY])
+
+
+def succession(keys: DataFrame) -> DataFrame:
+    """``keys`` (distinct KEY, and other columns) with ``__next``: the key before it in ascending order, the last for the first."""
+    dealt = stage(keys.repartitionByRange(*KEY).withColumn("__part", F.spark_partition_id()), "sketch-keys")
+    key = F.struct(*KEY)
+    every = Window.orderBy("__part")
+    last = F.last("last").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = dealt.groupBy("__part").agg(F.max(key).alias("last"))  # a row for each range, at most one a partition
+    ends = ends.select("__part", F.coalesce(F.lag("last").over(every), last).alias("__before"))
+    inside = F.lag(key).over(Window.partitionBy("__part").orderBy(*KEY))
+    joined = dealt.withColumn("__next", inside).join(F.broadcast(ends), "__part")
+    return joined.withColumn("__next", F.coalesce("__next", "__before")).drop("__part", "__before")
 
-    Ids are cut into ranges of about RANGE_ROWS rows; a range's last row is also sent to the next range
-    that has rows (the very last to the first), so one shuffle and windows over single ranges are enough.
-    Only ids go into finding those rows; they are broadcast only when counted as few.
+
+def with_following(rows: DataFrame, id: str, text: str, name: str) -> DataFrame:
+    """``id``, ``text`` and ``name``: the text of the next row in descending order of the id.
+
+    Rows that are repeated whole are one row while they are joined, and as many again at the end: all of
+    them but one are followed by their own text.
     """
-    keyed = rows.withColumn("__id", F.coalesce(F.col(id).cast("long"), F.lit(FLOOR)))
-    ids = keyed.select("__id")
-    least, most, n = ids.filter(F.col("__id") > FLOOR).agg(F.min("__id"), F.max("__id"), F.count(F.lit(1))).first()
-    width = max(1, (most - least + 1) * RANGE_ROWS // n) if n else 1
-    place = F.expr(f"`__id` div {width}L")
-    ranges = ids.groupBy(place.alias("__range")).agg(F.max("__id").alias("__tail"))
-    every = Window.orderBy("__range")
-    first = F.first("__range").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    tails = ranges.select("__tail", F.coalesce(F.lead("__range").over(every), first).alias("__next"))
-    if n // RANGE_ROWS <= BROADCAST_TAILS and ranges.limit(BROADCAST_TAILS + 1).count() <= BROADCAST_TAILS:
-        tails = F.broadcast(tails)
-    marked = keyed.join(tails, keyed["__id"] == tails["__tail"], "left").drop("__tail")
-    own = F.struct(place.alias("range"), F.lit(1).alias("own"))
-    sent = F.struct(F.col("__next").alias("range"), F.lit(0).alias("own"))
-    copies = marked.withColumn("__to", F.explode(F.when(F.col("__next").isNull(), F.array(own)).otherwise(F.array(own, sent))))
-    order = Window.partitionBy("__to.range").orderBy("__to.own", "__id", text)
-    led = copies.withColumn(name, F.lag(F.struct(*carried)).over(order))
-    return led.filter("__to.own = 1").drop("__id", "__next", "__to")
+    rows = rows.select(F.col(id).alias("__id0"), F.col(text).alias("__text"))
+    rows = rows.withColumns({
+        "__known": F.col("__id0").isNotNull(), "__id": F.coalesce(F.col("__id0").cast("long"), F.lit(0)), "__digest": F.unhex(F.md5("__text")),
+    })
+    linked = succession(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n")))
+    repeated = stage(linked.filter("__n > 1").select(*KEY), "sketch-repeated")
+    unique, some = rows, not repeated.isEmpty()
+    if some:
+        many = rows.join(repeated, list(KEY), "left_semi").groupBy(*KEY).agg(F.first("__id0").alias("__id0"), F.first("__text").alias("__text"))
+        unique = rows.join(repeated, list(KEY), "left_anti").unionByName(many, allowMissingColumns=True)
+        unique = unique.select("__id0", "__text", *KEY)
+    led = unique.alias("r").join(linked.alias("k"), same_key("r", "k")).select("r.__id0", "r.__text", "k.__n", "k.__next.*")
+    out = led.alias("r").join(unique.alias("k"), same_key("r", "k")).select("r.__id0", "r.__text", "r.__n", F.col("k.__text").alias("__following"))
+    if some:
+        own = F.when(F.col("__n") > 1, F.array_repeat("__text", (F.col("__n") - 1).cast("int"))).otherwise(F.array().cast("array<string>"))
+        out = out.withColumn("__following", F.explode(F.concat(F.array("__following"), own)))
+    return out.select(F.col("__id0").alias(id), F.col("__text").alias(text), F.col("__following").alias(name))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """The sketches of every whole text and of its edited text, and how alike they are."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    led = with_following(with_sketch(rows, "text", "sketch"), "doc_id", "text", ["text", "sketch"], "next")
-    n = F.length("text")
-    counted = led.select("doc_id", "text", "sketch", "next", n.cast("long").alias("n_chars"), F.expr("length(text) div 3").cast("int").alias("__k"))
-    edited = F.concat(
-        F.substring("text", F.lit(1), (F.col("n_chars") - F.col("__k")).cast("int")), F.substring("next.text", F.lit(1), F.col("__k"))
-    )
-    made = counted.select("doc_id", "n_chars", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
-    made = with_sketch(made, "edited", "edited_sketch")
+    led = with_following(rows, "doc_id", "text", "next_text")
+    counted = led.withColumns({"n_chars": F.length("text").cast("long"), "__k": F.expr("length(text) div 3").cast("int")})
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("__k")).cast("int")), F.substring("next_text", F.lit(1), F.col("__k")))
+    made = counted.select("doc_id", "n_chars", "text", "next_text", edited.alias("edited"))
+    for text, name in (("text", "sketch"), ("next_text", "next_sketch"), ("edited", "edited_sketch")):
+        made = with_sketch(made, text, name)
     made = with_likeness(made, "sketch", "edited_sketch", "near_edited", ("text", "edited"))
     made = with_likeness(made, "sketch", "next_sketch", "near_next", ("text", "next_text"))
     return made.select(

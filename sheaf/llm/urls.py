@@ -1,18 +1,21 @@
 """URL filters by expanded host-suffix and path-prefix expressions.
 
 Every url is turned into the expressions it could be listed under: each suffix of its host's labels with
-each prefix of its path that ends at a slash, and the whole path. Rules are kept as the SHA-256 of their expression;
-expressions and rules meet by an equi-join on the digest's first four bytes, the full digests confirm,
-and the longest rule wins (then the longer host, then block before allow).
+prefixes of its path. Rules are kept as the SHA-256 of their expression; expressions and rules meet by an
+equi-join on the digest's first four bytes, the full digests confirm, and the longest rule wins (then the
+longer host, then block before allow).
 
-Only the shapes that some rule has (labels in the host, slashes in the path) are expanded, so a hostile
-url with thousands of slashes costs no more than the rule list allows. Expressions are worked out once
-for each distinct host and path. Rules are broadcast up to ``BROADCAST_RULES`` rows (their number is
-counted first), beyond that both sides are shuffled.
+Only the shapes that some rule has (labels in the host; slashes in a path that ends at a slash, signs in
+one that doesn't) are expanded, so a hostile url with thousands of slashes costs no more than the rule
+list allows. Shapes are rows of one literal array, so the plan doesn't grow with them. Expressions are
+worked out once for each distinct host and path of a share of the pages; pages with neither are left out.
+Rules are broadcast up to ``BROADCAST_RULES`` rows (their number is counted first), beyond that both sides
+are shuffled.
 
 Cases: a null url, or one without ``://``, has an empty host and path and no rule; ports and user names
-stay part of the host; empty labels are kept; repeated pages are judged each; with no rules every verdict
-is the default; extra columns are ignored.
+stay part of the host; empty labels are kept; a rule's path fits every path that starts with it, whether
+it ends at a slash or not, and an empty one fits all; repeated pages are judged each, null ids too; with
+no rules every verdict is the default; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_RULES = 50_000
+#: Shares into which the pages of one host and path are dealt.
+SHARES = 64
 DEFAULT = "allow"
 #: (host, path, verdict)
 RULES = (
@@ -53,45 +58,49 @@ def prepared(rules: DataFrame) -> DataFrame:
         "verdict",
         F.length("host").alias("host_length"),
         F.size(F.split("host", r"\.", -1)).alias("labels"),
-        (F.size(F.split("path", "/", -1)) - 1).alias("slashes"),
         F.col("path").endswith("/").alias("closed"),
+        F.when(F.col("path").endswith("/"), F.size(F.split("path", "/", -1)) - 1).otherwise(F.length("path")).alias("reach"),
         F.sha2(F.col("rule").cast("binary"), 256).alias("digest"),
     ).withColumn("prefix", F.substring("digest", 1, 8))
 
 
-def expressions(host: Column, path: Column, shapes: list[tuple[int, int, bool]]) -> Column:
-    """Array of the host-suffix and path-prefix expressions with one of the given shapes."""
-    out = []
+def expressions(host: Column, path: Column, shapes: list[tuple[int, bool, int]]) -> Column:
+    """Array of the host-suffix and path-prefix expressions with one of the given shapes (labels, closed, reach)."""
     labels = F.size(F.split(host, r"\.", -1))
     slashes = F.size(F.split(path, "/", -1)) - 1
-    for n, k, closed in shapes:
-        suffix = F.substring_index(host, ".", -n) if n else F.lit("")
-        if closed:
-            prefix = F.concat(F.substring_index(path, "/", k), F.lit("/"))
-            fits = slashes >= k
-        else:
-            prefix, fits = path, slashes == k
-        out.append(F.when((labels >= n) & fits, F.concat(suffix, prefix)))
-    return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
+
+    def fits(s: Column) -> Column:
+        return (labels >= s["labels"]) & F.when(s["closed"], slashes >= s["reach"]).otherwise(F.length(path) >= s["reach"])
+
+    def made(s: Column) -> Column:
+        suffix = F.call_function("substring_index", host, F.lit("."), -s["labels"])
+        closed = F.concat(F.call_function("substring_index", path, F.lit("/"), s["reach"]), F.lit("/"))
+        return F.concat(suffix, F.when(s["closed"], closed).otherwise(F.substring(path, F.lit(1), s["reach"])))
+
+    rows = [F.struct(F.lit(n).alias("labels"), F.lit(c).alias("closed"), F.lit(r).alias("reach")) for n, c, r in shapes]
+    every = F.array(*rows) if rows else F.array().cast("array<struct<labels:int,closed:boolean,reach:int>>")
+    return F.transform(F.filter(every, fits), made)
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule (null if none fits) and verdict of every page."""
     split = host_and_path(F.col("url"))
-    rows = pages.select("page_id", "url").select("page_id", split[0].alias("host"), split[1].alias("path"))
+    share = F.pmod(F.xxhash64("page_id"), F.lit(SHARES)).cast("int")
+    rows = pages.select("page_id", split[0].alias("host"), split[1].alias("path"), share.alias("share"))
     listed = prepared(rules)
-    facts = listed.agg(F.count(F.lit(1)), F.collect_set(F.struct("labels", "slashes", "closed"))).first()
-    shapes = sorted((s["labels"], s["slashes"], s["closed"]) for s in facts[1])
-    places = rows.filter("host != '' or path != ''").distinct()
-    met = places.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), shapes)).alias("expression"))
+    facts = listed.agg(F.count(F.lit(1)), F.collect_set(F.struct("labels", "closed", "reach"))).first()
+    shapes = sorted(tuple(s) for s in facts[1])
+    named = (F.col("host") != "") | (F.col("path") != "")
+    places = rows.filter(named).select("host", "path", "share").distinct()
+    met = places.select("host", "path", "share", F.explode(expressions(F.col("host"), F.col("path"), shapes)).alias("expression"))
     met = met.withColumn("full", F.sha2(F.col("expression").cast("binary"), 256))
     listed = F.broadcast(listed) if facts[0] <= BROADCAST_RULES else listed
     hits = met.join(listed, F.substring("full", 1, 8) == F.col("prefix")).filter("full = digest")
     rank = F.struct(F.length("rule"), "host_length", F.col("verdict") == "block", "rule")
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("won"))
-    return rows.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict")
-    )
+    best = hits.groupBy("host", "path", "share").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("won"))
+    judged = rows.filter(named).join(best, ["host", "path", "share"], "left").select("page_id", "host", "path", "won.rule", "won.verdict")
+    nowhere = rows.filter(~named).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    return judged.unionByName(nowhere).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -122,18 +122,17 @@ def test_edits_and_likeness(spark):
         edited = t[: len(t) - k] + nxt[:k]
         assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
-    assert got[1]["fingerprint"] == got[10]["fingerprint"] and got[5]["fingerprint"] == "1:"
+    assert got[1]["fingerprint"] == got[10]["fingerprint"] and got[5]["fingerprint"] == "4:"
     assert got[1]["near_edited"] > 0.4 > got[1]["near_next"]
     one = sketch.fingerprint_edits(table(spark, [(4, "only one text of seven words here")])).first()
     assert one["near_next"] == 1.0
     assert sketch.fingerprint_edits(table(spark, [])).count() == 0
 
 
-def test_following_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(sketch, "RANGE_ROWS", 4)
+def test_following_over_many_ranges(spark):
     ids = sorted(rng.sample(range(-500, 5000), 120))
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r["n"]["text"] for r in sketch.with_following(df, "doc_id", "text", ["text"], "n").collect()}
+    got = {r["doc_id"]: r["n"] for r in sketch.with_following(df, "doc_id", "text", "n").collect()}
     assert got == {i: f"t{p}" for i, p in zip(ids, ids[-1:] + ids[:-1])}
 
 
