@@ -1,31 +1,45 @@
 """Stage tables in the folder that the whole cluster shares.
 
 A stage table cuts lineage: Spark's writer commits it once, it survives lost executors, and its
-readers never repeat the work above it. Nothing here touches a machine-local folder on a cluster;
-only a session that names no ``spark.checkpoint.dir`` (tests, a laptop) gets a folder of its own.
+readers never repeat the work above it. Tables lie in a folder of their application, and inside it of
+their run (``own_stages``), so nobody's clean-up takes away what another job reads. Nothing here touches
+a machine-local folder on a cluster: without ``spark.checkpoint.dir`` only a local session gets a folder
+of its own, any other is refused.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_RUN: ContextVar[str] = ContextVar("run", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set, a new local one is set for this session."""
+    """The cluster's shared folder; a local session without one gets a new one."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sheaf-shared-")
         spark.conf.set(CHECKPOINT_DIR, found)
     return found.rstrip("/")
 
 
+def application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sheaf-stages/{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/sheaf-stages/{label}-{uuid.uuid4().hex}"
+    run = f"{_RUN.get()}/" if _RUN.get() else ""
+    return f"{application_dir(spark)}/{run}{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -35,7 +49,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def own_stages(spark: SparkSession) -> Iterator[None]:
+    """Stage tables made inside lie in a folder of their own, which goes at the end.
+
+    For callers that write or collect their result inside; a DataFrame carried out can't be read any more.
+    """
+    name = f"run-{uuid.uuid4().hex}"
+    token = _RUN.set(name)
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
+        _delete(spark, f"{application_dir(spark)}/{name}")
+
+
 def drop_stages(spark: SparkSession) -> None:
-    """Delete every stage table of the shared folder. Call when no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sheaf-stages")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the stage tables of this application. Call when no result is read any more."""
+    _delete(spark, application_dir(spark))
