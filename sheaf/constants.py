@@ -32,7 +32,7 @@ NAME_GATE, NAME_WEIGHT, NAME_CLEAR, NAME_CONTAINED = 0.15, 0.45, 0.6, 0.25
 SHAPE_WEIGHT, KIND_WEIGHT, SAME_TYPE_WEIGHT = 0.18, 0.12, 0.12
 RANK_CLOSE, RANK_CLOSE_WEIGHT, RANK_NEAR, RANK_NEAR_WEIGHT = 0.25, 0.3, 0.75, 0.18
 POSITION_X, POSITION_SPAN, POSITION_GATE, POSITION_WEIGHT = 1.6, 0.5, 0.3, 0.15
-MIN_SIGNALS, MERGE_THRESHOLD, SAMPLES = 2, 0.55, 6
+MIN_SIGNALS, MERGE_THRESHOLD, SAMPLES, SHAPES = 2, 0.55, 6, 1000
 
 # Resolving, review, rows.
 COVERAGE_FLOOR, NAME_QUORUM, IDENTIFYING = 0.15, 0.6, 0.9

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf import constants as C
@@ -38,6 +38,20 @@ def label_similarity(a: Column, b: Column) -> Column:
     return token_similarity(label_tokens(a), label_tokens(b))
 
 
+def similar_pairs(names: DataFrame) -> DataFrame:
+    """a, b (a < b), similarity of all distinct labels (column ``label``) that share a word; no other pair is alike.
+
+    Labels meet at their words, so the work is that of the pairs that come out, not of all there could be.
+    """
+    told = names.withColumn("w", F.array_distinct(label_tokens(F.col("label"))))
+    words = told.select("label", F.size("w").alias("n"), F.explode("w").alias("word"))
+    a, b = (words.select("word", F.col("label").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    met = a.join(b, "word").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("s"))
+    bonus = F.when(F.col("s") == F.least("na", "nb"), C.NAME_CONTAINED).otherwise(0.0)
+    shared = F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))
+    return met.select("a", "b", F.least(F.lit(1.0), shared + bonus).alias("similarity"))
+
+
 def ordinal(n: Column) -> Column:
     return F.when(n == 1, "first").when(n == 2, "second").when(n == 3, "third").otherwise(F.concat(n.cast("string"), F.lit("th")))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sheaf import constants as C
 
 SPACE = r"\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACES = "\t\n\x0b\f\r \xa0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SLASH_DATE = r"\A(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\z"
 ISO_DATE = r"\A(\d{4})-(\d{2})-(\d{2})\z"
 DAY_FIRST_NAME = r"\A(\d{1,2})\s+([A-Za-z]{3,9})\.?,?\s+(\d{4})\z"
@@ -31,8 +32,8 @@ def pinned(df: DataFrame, name: str, c: Column) -> DataFrame:
 
 
 def js_trim(c: Column) -> Column:
-    """Trim of all Unicode white space; Spark's own trim knows the space alone."""
-    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    """Trim of all Unicode white space; Spark's own trim without a list knows the space alone."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def shape_of(c: Column) -> Column:
@@ -94,6 +95,47 @@ def parse_trimmed_date(t: Column, style: Column | str = "unknown") -> Column:
     )
 
 
+def date_form(t: Column) -> Column:
+    """Which of the written forms a trimmed text has: 1 to 4, or 0. Every form ends in a digit and has 8 signs at least."""
+    may = (F.length(t) >= 8) & F.right(t, F.lit(1)).between("0", "9")
+    form = F.when(t.rlike(ISO_DATE), 1).when(t.rlike(DAY_FIRST_NAME), 2).when(t.rlike(MONTH_FIRST_NAME), 3).when(t.rlike(SLASH_DATE), 4)
+    return F.when(may, form.otherwise(0)).otherwise(0)
+
+
+def with_date(df: DataFrame, t: str, name: str, style: Column, proof: str | None = None) -> DataFrame:
+    """Adds ``parse_trimmed_date`` of a column in steps, so that each text is taken apart once.
+
+    proof: name of a column that says which order, dmy or mdy, the text proves, if it proves one.
+    """
+    form, parts = F.col("__form"), F.col("__parts")
+    staged = df.withColumn("__form", date_form(F.col(t)))
+    staged = staged.withColumn("__parts", F.when(form >= 2, F.split(t, r"[\s.,/-]+")))
+    staged = staged.withColumns({
+        "__a": F.when(form == 3, parts[1]).otherwise(parts[0]).try_cast("int"),
+        "__b": F.when(form == 2, month_number(parts[1])).when(form == 3, month_number(parts[0])).otherwise(parts[1].try_cast("int")),
+        "__y": parts[2].try_cast("int"),
+    })
+    a, b, year = F.col("__a"), F.col("__b"), F.col("__y")
+    unknown = style == "unknown"
+    day, month = (form == 4) & (a > 12) & (b <= 12), (form == 4) & (b > 12) & (a <= 12)
+    reading = F.when(month | ((form == 4) & ~day & (style == "mdy")), iso_of(year, a, b)).otherwise(iso_of(year, b, a))
+    told = lambda *v: F.struct(
+        *[(x if isinstance(x, Column) else F.lit(x)).cast(k).alias(n) for x, (n, k) in zip(v, (("confidence", "double"), ("style", "string"), ("ambiguous", "boolean")))]
+    )
+    open_ = told(F.when(unknown, 0.45).otherwise(0.85), style, unknown)
+    facts = (
+        F.when(form == 1, told(0.98, "iso", False))
+        .when(form.isin(2, 3) & b.isNotNull() & a.between(1, 31), told(0.96, "named", False))
+        .when(day, told(0.95, "dmy", False)).when(month, told(0.95, "mdy", False)).when((form == 4) & (a <= 12) & (b <= 12), open_)
+    )
+    staged = staged.withColumn("__facts", facts)
+    made = F.struct(F.when(form == 1, F.col(t)).otherwise(reading).alias("iso"), "__facts.confidence", "__facts.style", "__facts.ambiguous")
+    staged = staged.withColumn(name, F.when(F.col("__facts").isNotNull(), made))
+    if proof is not None:
+        staged = staged.withColumn(proof, F.when(day, "dmy").when(month, "mdy"))
+    return staged.drop("__form", "__parts", "__a", "__b", "__y", "__facts")
+
+
 def _negated(t: Column) -> Column:
     return t.rlike(r"\A\(.*\)\z")
 
@@ -136,19 +178,23 @@ def parse_money(c: Column) -> Column:
 
 def with_money(df: DataFrame, t: Column, name: str) -> DataFrame:
     """Adds ``parse_money`` of an already trimmed text, in steps that are columns of their own."""
-    staged = df.withColumn("__negated", _negated(t)).withColumn("__inner", _inner(t, F.col("__negated")))
-    staged = staged.withColumns({"__symbol": _symbol(F.col("__inner")), "__code": _code(F.col("__inner"))})
-    staged = staged.withColumn("__cleaned", _cleaned(F.col("__inner"), F.col("__symbol"), F.col("__code")))
+    digit = F.col("__digit")  # without a digit nothing is an amount
+    staged = df.withColumn("__digit", t.rlike("[0-9]"))
+    staged = staged.withColumn("__negated", digit & _negated(t)).withColumn("__inner", F.when(digit, _inner(t, F.col("__negated"))))
+    staged = staged.withColumn("__symbol", _symbol(F.col("__inner")))
+    code = F.when(F.col("__symbol").isNull() & F.col("__inner").rlike("[A-Za-z]"), _code(F.col("__inner")))
+    staged = staged.withColumn("__code", F.when(digit, F.coalesce(code, F.lit(""))))
+    staged = staged.withColumn("__cleaned", F.when(digit, _cleaned(F.col("__inner"), F.col("__symbol"), F.col("__code"))))
     made = _money(F.col("__cleaned"), F.col("__negated"), F.col("__symbol"), F.col("__code"))
-    return staged.withColumn(name, made).drop("__negated", "__inner", "__symbol", "__code", "__cleaned")
+    return staged.withColumn(name, made).drop("__digit", "__negated", "__inner", "__symbol", "__code", "__cleaned")
 
 
 def is_email(t: Column) -> Column:
-    return t.rlike(r"\A[\w.+-]+@[\w-]+\.[\w.]+\z")
+    return t.contains("@") & t.rlike(r"\A[\w.+-]+@[\w-]+\.[\w.]+\z")
 
 
 def is_boolean(t: Column) -> Column:
-    return t.rlike(r"(?i)\A(yes|no|true|false|y|n)\z")
+    return (F.length(t) <= 5) & t.rlike(r"(?i)\A(yes|no|true|false|y|n)\z")
 
 
 def is_phone(t: Column) -> Column:
@@ -201,11 +247,14 @@ def type_value(c: Column, style: Column | str = "unknown") -> Column:
     return _cascade(t, parse_trimmed_date(t, style), parse_money(t))
 
 
-def with_value(df: DataFrame, raw: Column, name: str = "value", style: Column | str = "unknown") -> DataFrame:
-    """Adds ``type_value(raw, style)``, staged so that generated code stays small."""
+def with_value(df: DataFrame, raw: Column, name: str = "value", style: Column | str = "unknown", proof: str | None = None) -> DataFrame:
+    """Adds ``type_value(raw, style)``, staged so that no text is matched twice and generated code stays small.
+
+    proof: see ``with_date``.
+    """
     staged = df.withColumns({"__raw": F.coalesce(raw, F.lit("")), "__style": style if isinstance(style, Column) else F.lit(style)})
     staged = staged.withColumn("__t", js_trim(F.col("__raw")))
-    staged = staged.withColumn("__date", parse_trimmed_date(F.col("__t"), F.col("__style")))
+    staged = with_date(staged, "__t", "__date", F.col("__style"), proof)
     staged = with_money(staged, F.col("__t"), "__money")
     return pinned(staged, name, _cascade(F.col("__t"), F.col("__date"), F.col("__money"))).drop("__raw", "__style", "__t", "__date", "__money")
 

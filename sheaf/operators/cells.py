@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf import constants as C
 from sheaf.functions.values import date_proofs, resolve_date_style, with_value
+from sheaf.plans.staging import stage
 
 
 #: Confidence of a date whose order nothing settles, and of one that its column's style settles.
@@ -66,18 +67,18 @@ def canonical(cells: DataFrame, order: list[str], by: tuple[str, ...] = ("field"
     """
     given = F.coalesce("corrected_to", "raw") if "corrected_to" in cells.columns else F.col("raw")
     keyed = cells.withColumns({"__given": given, "__label": F.coalesce("source_label", F.lit(""))})
-    typed = with_value(keyed, F.col("__given"), "__v")
+    # typed once: the facts of the groups and the cells themselves are read from the same table
+    typed = stage(with_value(keyed, F.col("__given"), "__v", proof="__proof"), "typed")
     groups = [*by, "__label"]
-    # one aggregate, by type inside each group, gives both the proofs and the majority
-    dmy, mdy = date_proofs(F.col("__given"))
     counts = typed.filter(F.col("__given").isNotNull()).groupBy(*groups, F.col("__v.type").alias("type")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("seen"), F.count_if(dmy).alias("dmy"), F.count_if(mdy).alias("mdy")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("seen"),
+        F.count_if(F.col("__proof") == "dmy").alias("dmy"), F.count_if(F.col("__proof") == "mdy").alias("mdy"),
     )
     facts = counts.groupBy(*groups).agg(
         F.min_by("type", F.struct((-F.col("n")).alias("n"), "seen")).alias("column_type"), F.sum("dmy").alias("dmy"), F.sum("mdy").alias("mdy")
     )
     proved = F.when(F.col("column_type") == "date", resolve_date_style(F.col("dmy"), F.col("mdy"))).otherwise("unknown")
-    facts = facts.select(*groups, "column_type", proved.alias("style"))
+    facts = stage(facts.select(*groups, "column_type", proved.alias("style")), "facts")  # its size is known when the join is planned
     joined = typed.join(facts, groups, "left").withColumn("style", F.coalesce("style", F.lit("unknown")))
     # only an ambiguous date depends on the style: it was read day-first, so month-first swaps the two
     v = F.col("__v")
@@ -86,7 +87,7 @@ def canonical(cells: DataFrame, order: list[str], by: tuple[str, ...] = ("field"
     reread = v.withField("text", F.when(F.col("style") == "mdy", swapped).otherwise(v["text"])).withField("confidence", F.lit(SETTLED))
     out = joined.withColumn("value", F.when(F.col("__given").isNotNull(), F.when(settled, reread).otherwise(v)))
     blended = F.greatest(F.lit(0.0), F.col("confidence") * C.BLEND_OLD + F.col("value.confidence") * C.BLEND_TYPE)
-    return out.withColumn("confidence", F.coalesce(blended, "confidence")).drop("__given", "__label", "__v")
+    return out.withColumn("confidence", F.coalesce(blended, "confidence")).drop("__given", "__label", "__v", "__proof")
 
 
 def unresolved_dates(cells: DataFrame, by: tuple[str, ...] = ("field",)) -> DataFrame:
@@ -114,15 +115,16 @@ def needs_review(status: str = "status", confidence: str = "confidence") -> Colu
 def commit_table(cells: DataFrame, fields: list[tuple[str, str, str]], document: str = "document") -> DataFrame:
     """One row per document: typed columns by the fields' order, ``_needs_review``, ``_uncast``.
 
-    fields: (field, column, type). The pivot's values are given, so it needs no pass of its own.
-    ``_uncast`` counts values that were there and became null in their column's type.
+    fields: (field, column, type). Values are cast first, so one aggregate by document makes the columns
+    and the counts; of several values of one field the largest stays. ``_uncast`` counts values that were
+    there and became null in their column's type.
     """
-    wide = cells.groupBy(document).pivot("field", [f for f, _, _ in fields]).agg(F.first("value", ignorenulls=True))
-    counts = cells.groupBy(document).agg(F.count_if(needs_review()).cast("int").alias("_needs_review"))
-    columns = {name: cast_value(F.col(f"`{field}`"), kind) for field, name, kind in fields}
-    lost = sum((F.when(F.col(f"`{f}`")["text"].isNotNull() & columns[n].isNull(), 1).otherwise(0) for f, n, _ in fields), F.lit(0))
-    typed = wide.select(document, *[c.alias(n) for n, c in columns.items()], lost.alias("_uncast"))
-    return typed.join(counts, document)
+    cast = {name: cast_value(F.col("value"), kind) for _, name, kind in fields}
+    own = {name: F.col("field") == field for field, name, _ in fields}
+    columns = [F.max(F.when(own[name], c)).alias(name) for name, c in cast.items()]
+    lost = [F.count_if(own[name] & F.col("value.text").isNotNull() & c.isNull()) for name, c in cast.items()]
+    uncast = sum(lost, F.lit(0)).cast("int").alias("_uncast")
+    return cells.groupBy(document).agg(*columns, uncast, F.count_if(needs_review()).cast("int").alias("_needs_review"))
 
 
 def accuracy(cells: DataFrame, truth: DataFrame) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf import constants as C
+from sheaf.plans.staging import stage
 
 SIGNATURE = ("shape", "table_columns", "row_scale", "field_count", "types", "narrative_lines")
 TYPES = C.VALUE_TYPES
+#: Distinct signatures that the driver holds at once.
+BATCH = 4096
 
 
 def signatures(analysed: DataFrame) -> DataFrame:
@@ -76,38 +80,68 @@ def similarity_of(a: tuple, b: tuple) -> float:
     return sum(w * p for w, p in zip(C.CLUSTER_WEIGHTS, parts)) / sum(C.CLUSTER_WEIGHTS)
 
 
-def find_leaders(distinct: list[tuple], threshold: float = C.CLUSTER_THRESHOLD) -> list[int]:
-    """Positions, among distinct signatures in first-seen order, of those that found a cluster."""
-    leaders: list[int] = []
+def find_leaders(distinct: list[tuple], threshold: float = C.CLUSTER_THRESHOLD, known: list[tuple] = ()) -> list[int]:
+    """Positions, among distinct signatures in first-seen order, of those that found a cluster beside the known ones."""
+    leaders, found = list(known), []
     for i, s in enumerate(distinct):
-        if all(similarity_of(s, distinct[k]) < threshold for k in leaders):
-            leaders.append(i)
-    return leaders
+        if all(similarity_of(s, k) < threshold for k in leaders):
+            leaders.append(s)
+            found.append(i)
+    return found
+
+
+def plain(signature) -> tuple:
+    return tuple(signature[k] for k in SIGNATURE)
+
+
+def with_leaders(signed: DataFrame, leaders: list[tuple[int, object, tuple]], signature: str, since: str) -> DataFrame:
+    """A row for each row of ``signed`` and leader (number, since, signature), with ``leader``, ``since`` and ``leading``.
+
+    The leaders are one literal of the plan: nothing is joined.
+    """
+    kind = f"struct<leader:int,since:{since},leading:{signed.schema[signature].dataType.simpleString()}>"
+    told = json.dumps([{"leader": n, "since": s, "leading": dict(zip(SIGNATURE, x))} for n, s, x in leaders])
+    every = F.from_json(F.lit(told), f"array<{kind}>")
+    return signed.withColumn("__l", F.explode(every)).select(*signed.columns, "__l.*")
+
+
+def leaders_of(signed: DataFrame, order: str, threshold: float) -> list[tuple[int, object, tuple]]:
+    """(number, since, signature) of the clusters' founders.
+
+    Distinct signatures come to the driver ``BATCH`` at a time, in first-seen order; after each batch those
+    that a founder covers are filtered where they are, so the driver never holds more than a batch.
+    """
+    rest, found = signed.groupBy("signature").agg(F.min(order).alias("first")), []
+    since = dict(signed.dtypes)[order]
+    while True:
+        batch = rest.orderBy("first").limit(BATCH).collect()
+        shown = [plain(r["signature"]) for r in batch]
+        new = find_leaders(shown, threshold, [x for _, _, x in found])
+        found += [(len(found) + k, batch[i]["first"], shown[i]) for k, i in enumerate(new)]
+        if len(batch) < BATCH:
+            return found
+        later = rest.filter(F.col("first") > batch[-1]["first"])
+        met = with_leaders(later, found, "signature", since).withColumn("score", similarity(F.col("signature"), F.col("leading")))
+        rest = stage(met.groupBy("signature").agg(F.min("first").alias("first"), F.max("score").alias("s")).filter(F.col("s") < threshold).drop("s"), "uncovered")
 
 
 def cluster_documents(signed: DataFrame, order: str = "doc_id", threshold: float = C.CLUSTER_THRESHOLD) -> DataFrame:
-    """doc_id, kind (0 for the largest, ties by age), leader's signature.
+    """doc_id, kind (0 for the largest, ties by age), leader's number.
 
     A document joins the most similar cluster founded before it (the later one on ties) or founds one.
     Only the first document of each distinct signature can found one, so the sequential part runs over
-    distinct signatures; every document then meets the leaders. The driver holds distinct signatures (coarse and
-    few for any template-made pile), never documents.
+    distinct signatures; every document then joins its signature by equality.
     """
-    spark = signed.sparkSession
-    firsts = signed.groupBy("signature").agg(F.min(order).alias("first")).orderBy("first").collect()
-    shown = [(r["signature"]["shape"], *(r["signature"][k] for k in SIGNATURE[1:])) for r in firsts]
-    found = find_leaders(shown, threshold)
-    schema = f"leader int, since {dict(signed.dtypes)[order]}, leading {signed.schema['signature'].dataType.simpleString()}"
-    leaders = spark.createDataFrame([(n, firsts[k]["first"], firsts[k]["signature"]) for n, k in enumerate(found)], schema)
-    # each distinct signature meets the leaders once, then documents join their signature by equality
+    since = dict(signed.dtypes)[order]
+    leaders = leaders_of(signed, order, threshold)
     distinct = signed.groupBy("signature").agg(F.min(order).alias("first"))
-    ages = signed.select(order, "signature")
-    met = distinct.join(F.broadcast(leaders), F.lit(True), "cross").withColumn("score", similarity(F.col("signature"), F.col("leading")))
+    met = with_leaders(distinct, leaders, "signature", since).withColumn("score", similarity(F.col("signature"), F.col("leading")))
     met = met.filter((F.col("score") >= threshold) | (F.col("first") == F.col("since")))
     options = met.groupBy("signature").agg(F.collect_list(F.struct("score", "leader", "since")).alias("options"))
     own = F.filter("options", lambda o: o["since"] <= F.col(order))
-    joined = ages.join(options, "signature").select(order, F.array_max(F.transform(own, lambda o: F.struct(o["score"], o["leader"])))["leader"].alias("leader"))
-    sizes = joined.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).collect()
+    joined = signed.select(order, "signature").join(options, "signature")
+    joined = joined.select(order, F.array_max(F.transform(own, lambda o: F.struct(o["score"], o["leader"])))["leader"].alias("leader"))
+    sizes = joined.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each leader
     ranked = sorted(sizes, key=lambda r: (-r["n"], r["leader"]))
-    names = spark.createDataFrame([(r["leader"], k) for k, r in enumerate(ranked)], "leader int, kind int")
-    return joined.join(F.broadcast(names), "leader").select(order, "kind", "leader")
+    numbers = F.from_json(F.lit(json.dumps({str(r["leader"]): k for k, r in enumerate(ranked)})), "map<string,int>")
+    return joined.select(order, numbers[F.col("leader").cast("string")].alias("kind"), "leader")

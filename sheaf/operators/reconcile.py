@@ -27,7 +27,8 @@ def label_stats(candidates: DataFrame) -> DataFrame:
 
     ``occurrences`` counts candidates, not documents; type is that of the first; shapes and samples keep
     their order. Order is by document, then types by their first candidate in reading order, then rank.
-    Samples and shapes are bounded: the first few of each label by that order.
+    Samples and shapes are bounded: the first ``SAMPLES`` and ``SHAPES`` of each label by that order, for
+    free text has a shape of its own in every value.
     """
     r = ranked(candidates)
     opening = Window.partitionBy("kind", "doc_id", "type").orderBy("y", "x", "ord")
@@ -43,6 +44,8 @@ def label_stats(candidates: DataFrame) -> DataFrame:
         F.min("seen").alias("first"),
     )
     shapes = keyed.groupBy("kind", "label", "shape").agg(F.min("seen").alias("seen"))
+    order = Window.partitionBy("kind", "label").orderBy("seen")
+    shapes = shapes.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= C.SHAPES)
     shapes = shapes.groupBy("kind", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "shape"))), lambda s: s["shape"]).alias("shapes"))
     number = Window.partitionBy("kind", "label").orderBy("seen")
     samples = keyed.withColumn("k", F.row_number().over(number)).filter(F.col("k") <= C.SAMPLES)

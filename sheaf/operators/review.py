@@ -157,6 +157,11 @@ def summary(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return cells.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count_if(needs_review()).alias("needs_review"), is_("confirmed"), is_("corrected"), is_("empty"))
 
 
+def summary_of_fields(cells: DataFrame, fields: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``summary`` over the cells of included fields alone."""
+    return summary(cells.join(fields.filter("included").select("field"), "field", "left_semi"), by)
+
+
 def patch_fields(fields: DataFrame, events: DataFrame) -> DataFrame:
     """fields with the last non-null name, type and included of each field's events (field, seq, …)."""
     names = ("name", "type", "included")

@@ -41,6 +41,11 @@ def rows(df: DataFrame | None, query: str | None = None, sort: str | None = None
     return search(df, query).orderBy(order_of(df, sort, direction)).limit(n)
 
 
+def reviewed(df: DataFrame) -> DataFrame:
+    """Rows of a committed table that nothing is left to review in."""
+    return df.filter("_needs_review = 0")
+
+
 def total(df: DataFrame, query: str | None = None) -> int:
     return search(df, query).count()
 

@@ -107,13 +107,24 @@ FROM {source} GROUP BY {by}"""
 
 STYLE = "CASE WHEN dmy > 0 AND mdy = 0 THEN 'dmy' WHEN mdy > 0 AND dmy = 0 THEN 'mdy' ELSE 'unknown' END"
 
-CANONICAL = (
-    VENDOR_CASES
-    + ", proved AS ("
-    + proofs("source_label")
-    + f"), styled AS (SELECT p.*, {STYLE} AS style FROM pile p JOIN proved USING (source_label)), "
-    # totals are no dates: their style is unknown, as it is for every label without proofs
-    + typed("styled", "style")
-    + """, cells AS (SELECT document, o_custkey, field, source_label, raw, style, type, t, amount,
+
+def canonical(cases: str) -> str:
+    """Canonical cells of the pile that ``cases`` ends with."""
+    return (
+        cases
+        + ", proved AS ("
+        + proofs("source_label")
+        + f"), styled AS (SELECT p.*, {STYLE} AS style FROM pile p JOIN proved USING (source_label)), "
+        # totals are no dates: their style is unknown, as it is for every label without proofs
+        + typed("styled", "style")
+        + """, cells AS (SELECT document, o_custkey, field, source_label, raw, style, type, t, amount,
       CASE WHEN type = 'date' THEN iso END AS iso, greatest(confidence * 0.6 + value_confidence * 0.4, 0) AS confidence FROM valued)"""
+    )
+
+
+CANONICAL = canonical(VENDOR_CASES)
+#: Every customer a source of its own, so that some sources hold ambiguous dates alone.
+BY_CUSTOMER = canonical(
+    VENDOR_CASES.replace("pile AS", "whole_pile AS", 1)
+    + ", pile AS (SELECT * REPLACE (source_label || '/' || o_custkey AS source_label) FROM whole_pile)"
 )

@@ -9,15 +9,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf import constants as C
 from sheaf.operators import cells as cell_ops
 from sheaf.operators import cluster, extract, geometry, reconcile
-from sheaf.plans.staging import stage
+from sheaf.plans.staging import Run, stage
+from sheaf.sources import corpus, pdf
 from sheaf.sources.store import Store
 
+UNTITLED, DEMO = "Untitled pile", "Demo pile"
+
 
 @dataclass
 class Pile:
@@ -57,13 +60,18 @@ def discover(tokens: DataFrame, pages: DataFrame) -> Pile:
 
 
 def ingest(store: Store, tokens: DataFrame, pages: DataFrame) -> Iterator[dict]:
-    """Discover and store a pile; yields progress records. A failure is logged as the project's status."""
+    """Discover and store a pile; yields progress records. A failure is logged as the project's status.
+
+    The stage tables of the run go when it ends, for all that is kept has been stored by then.
+    """
     store.log("project_events", [(store.project, store.sequence(), "ingesting", None)])
+    run = Run(store.spark)
     try:
         total = pages.select("doc_id").distinct().count()
         yield {"stage": "parsing", "done": total, "total": total, "message": f"{total} documents"}
         yield {"stage": "analysing", "done": 0, "total": total, "message": "finding tables and fields"}
-        pile = discover(tokens, pages)
+        with run:
+            pile = discover(tokens, pages)
         kinds = pile.kinds.count()
         yield {"stage": "clustering", "done": kinds, "total": kinds, "message": f"{kinds} kinds"}
         fields = pile.fields.count()
@@ -74,5 +82,33 @@ def ingest(store: Store, tokens: DataFrame, pages: DataFrame) -> Iterator[dict]:
     except Exception as e:
         store.log("project_events", [(store.project, store.sequence(), "failed", str(e)[:500])])
         raise
+    finally:
+        run.drop()
     store.log("project_events", [(store.project, store.sequence(), "discovered", None)])
     yield {"stage": "done", "done": total, "total": total, "message": "ready"}
+
+
+def ingest_folder(spark: SparkSession, root: str, folder: str, name: str = UNTITLED) -> Iterator[dict]:
+    """A folder of PDF files as the pile ``name`` under ``root``: files, discovered tables, progress records.
+
+    Raises ValueError before anything is stored if the folder has no PDF file. The first record says how
+    many files were skipped, and unreadable ones are kept as the table ``unreadable``.
+    """
+    kept, skipped = pdf.list_files(spark, folder)
+    if kept.isEmpty():
+        raise ValueError("there is no PDF file to ingest")
+    store = Store(spark, root, name)
+    store.write("files", pdf.read_contents(spark, folder, kept))
+    tokens, pages, unreadable = pdf.tokens_of(store.read("files"))
+    store.write("unreadable", unreadable)
+    for record in ingest(store, tokens, pages):
+        yield record | {"skipped": skipped}
+
+
+def demo(spark: SparkSession, root: str) -> tuple[Store, list[dict]]:
+    """The generated pile as a project; one that is there already and didn't fail is used again."""
+    store = Store(spark, root, DEMO)
+    if store.exists("project_events") and store.status() in ("discovered", "committed"):
+        return store, []
+    tokens, pages, _ = corpus.pile(spark)
+    return store, list(ingest(store, tokens, pages))

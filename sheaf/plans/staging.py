@@ -54,19 +54,35 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Run:
+    """A folder of its own for the stage tables that are made while the run is entered; ``drop`` deletes it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name, self.tokens = spark, f"run-{uuid.uuid4().hex}", []
+
+    def __enter__(self) -> Run:
+        self.tokens.append(_RUN.set(self.name))
+        return self
+
+    def __exit__(self, *failure) -> None:
+        _RUN.reset(self.tokens.pop())
+
+    def drop(self) -> None:
+        _delete(self.spark, f"{application_dir(self.spark)}/{self.name}")
+
+
 @contextmanager
-def own_stages(spark: SparkSession) -> Iterator[None]:
-    """Stage tables made inside lie in a folder of their own, which goes at the end.
+def own_stages(spark: SparkSession) -> Iterator[Run]:
+    """A run that is dropped at the end.
 
     For callers that write or collect their result inside; a DataFrame carried out can't be read any more.
     """
-    name = f"run-{uuid.uuid4().hex}"
-    token = _RUN.set(name)
+    run = Run(spark)
     try:
-        yield
+        with run:
+            yield run
     finally:
-        _RUN.reset(token)
-        _delete(spark, f"{application_dir(spark)}/{name}")
+        run.drop()
 
 
 def drop_stages(spark: SparkSession) -> None:

@@ -316,10 +316,39 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, PARSED)
 
 
+FILES = "binaryFile"
+
+
+def list_files(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(path, doc_id) of the PDF files under a folder that are read, and how many files are skipped.
+
+    Skipped are other kinds of files, and all but one of several files of one name and size. Only names
+    and sizes are read. A document is called by its file's name, or by its path where the name isn't its own.
+    """
+    every = spark.read.format(FILES).option("recursiveFileLookup", "true").load(path).select("path", "length")
+    named = every.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    total = named.count()
+    pdf = named.filter(F.lower("name").endswith(".pdf")).groupBy("name", "length").agg(F.min("path").alias("path"))
+    names = pdf.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    kept = stage(pdf.join(names, "name").select("path", F.when(F.col("n") == 1, F.col("name")).otherwise(F.col("path")).alias("doc_id")), "pdf-files")
+    return kept, total - kept.count()
+
+
+def read_contents(spark: SparkSession, path: str, kept: DataFrame) -> DataFrame:
+    """doc_id and content of the listed files; the list is small beside the contents, which stay where they are read."""
+    files = spark.read.format(FILES).option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").join(kept, "path").select("doc_id", "content")
+
+
 def read_pdfs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tokens, pages, unreadable) of all PDF files under a folder. Raises if not one can be read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
-    parsed = stage(parse_files(files.dropDuplicates(["path", "length"])), "pdf-parsed")
+    kept, _ = list_files(spark, path)
+    return tokens_of(read_contents(spark, path, kept))
+
+
+def tokens_of(contents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tokens, pages, unreadable) of doc_id and content. Raises if there are files and not one can be read."""
+    parsed = stage(parse_files(contents.withColumnRenamed("doc_id", "path")), "pdf-parsed")
     total, bad, reason = parsed.agg(F.count(F.lit(1)), F.count_if(F.col("error").isNotNull()), F.min("error")).first()
     if total and bad == total:
         raise ValueError(f"no file could be read: {reason}")

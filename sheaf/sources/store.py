@@ -130,12 +130,39 @@ class Store:
 
     def overview(self) -> DataFrame:
         """kind, name, documents, fields, needs_review, largest kinds first."""
-        docs = self.read("documents").groupBy("kind").agg(F.count(F.lit(1)).alias("documents"))
+        docs = self.read("documents").groupBy("kind").agg(F.countDistinct("doc_id").alias("documents"))
         fields = self.fields().filter("included").groupBy("kind").agg(F.count(F.lit(1)).alias("fields"))
         open_ = self.cells().groupBy("kind").agg(F.count_if(cell_ops.needs_review()).alias("needs_review"))
         joined = self.read("kinds").join(docs, "kind", "left").join(fields, "kind", "left").join(open_, "kind", "left")
         return joined.na.fill(0, ["documents", "fields", "needs_review"]).orderBy(F.col("documents").desc(), "kind")
 
+    def document_bytes(self, doc_id: str) -> bytes | None:
+        """The file that a document was read from, or None if the pile didn't come from files."""
+        if not self.exists("files"):
+            return None
+        row = self.read("files").filter(F.col("doc_id") == doc_id).select("content").first()
+        return bytes(row["content"]) if row else None
+
+    def kind_named(self, beginning: str) -> int | None:
+        """The first kind whose name begins so, case aside."""
+        row = self.read("kinds").filter(F.lower("name").startswith(beginning.lower())).orderBy("kind").select("kind").first()
+        return row["kind"] if row else None
+
+    def regions(self, doc_id: str) -> DataFrame:
+        """Where a document's cells stand: cell_id, field, page, box, label_box, status, confidence."""
+        cells = self.cells().filter((F.col("doc_id") == doc_id) & F.col("page").isNotNull())
+        return cells.select("cell_id", "field", "page", "box", "label_box", "status", "confidence")
+
+    @staticmethod
+    def projects(spark: SparkSession, root: str) -> DataFrame:
+        """project, created, status of every pile under ``root``, the newest first."""
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/project_events")
+        found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+        paths = [str(f.getPath()) for f in found or []]
+        events = spark.read.schema(LOGS["project_events"]).parquet(*paths) if paths else spark.createDataFrame([], LOGS["project_events"])
+        own = events.groupBy("project").agg(F.min("seq").alias("created"), F.max_by("status", "seq").alias("status"))
+        return own.orderBy(F.col("created").desc())
+
     def delete(self) -> None:
         """Drop every committed table, then the project's folder."""
         for r in self.read("kind_tables").select("table_name").distinct().collect():
