@@ -7,17 +7,14 @@ from functools import lru_cache
 
 from sheaf import constants as C
 
-SPACES = " \t\n\r\x0b\f" + "".join(map(chr, (0xA0, 0xFEFF, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-EMAIL = re.compile(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+")
-BOOLEAN = re.compile(r"yes|no|true|false|y|n", re.I)
-PHONE = re.compile(rf"\+?[0-9(][0-9{SPACES}().-]{{8,}}")
-DATE_GROUPS = re.compile(r"[0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]{2,4}")
-ISO = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
-DAY_NAME = re.compile(r"([0-9]{1,2})\s+([A-Za-z]{3,9})\.?,?\s+([0-9]{4})")
-NAME_DAY = re.compile(r"([A-Za-z]{3,9})\.?\s+([0-9]{1,2}),?\s+([0-9]{4})")
-SLASH = re.compile(r"([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})")
-IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9/*_. #-]*")
-AMOUNT = re.compile(r"-?[0-9]+(\.[0-9]{1,4})?")
+SPACES = C.SPACES
+EMAIL, PHONE, DATE_GROUPS, ISO, DAY_NAME, NAME_DAY, SLASH, IDENTIFIER, AMOUNT, INTEGER, NUMBER = (
+    re.compile(p, re.A)
+    for p in (
+        C.EMAIL, C.PHONE, C.NO_PHONE, C.ISO_DATE, C.DAY_FIRST_NAME, C.MONTH_FIRST_NAME, C.SLASH_DATE, C.IDENTIFIER, C.AMOUNT, C.INTEGER, C.NUMBER,
+    )
+)
+BOOLEAN = re.compile(C.BOOLEAN, re.I)
 MONEY_WORD = re.compile(r"(?<![A-Za-z0-9_])(" + "|".join(C.CURRENCY_WORDS) + r"|Rs\.?)\b", re.I | re.A)
 MONTHS = {m: i + 1 for i, m in enumerate(C.MONTHS)} | {"sept": 9}
 
@@ -30,7 +27,7 @@ def parse_date(s: str, style: str = "unknown") -> tuple[str, float, str, bool] |
     """(iso, confidence, style, ambiguous) or None."""
     t = trim(s)
     if ISO.fullmatch(t):
-        return t, 0.98, "iso", False
+        return t, C.DATE_CONFIDENCE["iso"], "iso", False
     m = DAY_NAME.fullmatch(t)
     day_month_year = m.groups() if m else None
     if not m and (m := NAME_DAY.fullmatch(t)):
@@ -38,17 +35,17 @@ def parse_date(s: str, style: str = "unknown") -> tuple[str, float, str, bool] |
     if day_month_year:
         day, name, year = int(day_month_year[0]), day_month_year[1].lower(), int(day_month_year[2])
         month = MONTHS.get(name[:4]) or MONTHS.get(name[:3])
-        return (f"{year}-{month:02d}-{day:02d}", 0.96, "named", False) if month and 1 <= day <= 31 else None
+        return (f"{year}-{month:02d}-{day:02d}", C.DATE_CONFIDENCE["named"], "named", False) if month and 1 <= day <= 31 else None
     if m := SLASH.fullmatch(t):
         a, b, year = map(int, m.groups())
         if a > 12 and b > 12:
             return None
         if a > 12 or b > 12:
             shown, month, day = ("dmy", b, a) if a > 12 else ("mdy", a, b)
-            return f"{year}-{month:02d}-{day:02d}", 0.95, shown, False
+            return f"{year}-{month:02d}-{day:02d}", C.DATE_CONFIDENCE["proved"], shown, False
         month, day = (a, b) if style == "mdy" else (b, a)
         unknown = style == "unknown"
-        return f"{year}-{month:02d}-{day:02d}", 0.45 if unknown else 0.85, style, unknown
+        return f"{year}-{month:02d}-{day:02d}", C.DATE_CONFIDENCE["open" if unknown else "settled"], style, unknown
     return None
 
 
@@ -68,7 +65,7 @@ def parse_money(s: str) -> tuple[float, str | None, float] | None:
     cleaned = rest.replace(",", "").removeprefix("+")
     if not AMOUNT.fullmatch(cleaned) or not (currency or negated or re.search(r"\.[0-9]{2}\Z", cleaned)):
         return None
-    return float(cleaned) * (-1 if negated else 1), currency, 0.95 if currency else 0.7
+    return float(cleaned) * (-1 if negated else 1), currency, C.MONEY_CONFIDENCE["named" if currency else "bare"]
 
 
 @lru_cache(maxsize=100_000)
@@ -78,22 +75,22 @@ def type_of(raw: str) -> tuple[str, float]:
     if not s:
         return "text", 0.0
     if EMAIL.fullmatch(s):
-        return "email", 0.98
+        return "email", C.TYPE_CONFIDENCE["email"]
     if BOOLEAN.fullmatch(s):
-        return "boolean", 0.9
+        return "boolean", C.TYPE_CONFIDENCE["boolean"]
     if date := parse_date(s):
         return "date", date[1]
-    if PHONE.fullmatch(s) and sum(c in "0123456789" for c in s) >= 9 and not DATE_GROUPS.fullmatch(s):
-        return "phone", 0.85
+    if PHONE.fullmatch(s) and sum(c in "0123456789" for c in s) >= C.PHONE_DIGITS and not DATE_GROUPS.fullmatch(s):
+        return "phone", C.TYPE_CONFIDENCE["phone"]
     if money := parse_money(s):
         return "money", money[2]
     bare = s.replace(",", "")
-    if re.fullmatch(r"-?[0-9]+", bare):
-        return "integer", 0.9
-    if re.fullmatch(r"-?[0-9]*\.[0-9]+", bare):
-        return "number", 0.9
+    if INTEGER.fullmatch(bare):
+        return "integer", C.TYPE_CONFIDENCE["integer"]
+    if NUMBER.fullmatch(bare):
+        return "number", C.TYPE_CONFIDENCE["number"]
     words = re.split(rf"[{SPACES}]+", s)
     doubled = re.search(rf"[{SPACES}]{{2,}}", s)
-    if len(s) <= 40 and not doubled and re.search("[0-9]", s) and IDENTIFIER.fullmatch(s) and len(words) <= 3:
-        return "identifier", 0.75
-    return "text", 0.6
+    if len(s) <= C.IDENTIFIER_LENGTH and not doubled and re.search("[0-9]", s) and IDENTIFIER.fullmatch(s) and len(words) <= C.IDENTIFIER_WORDS:
+        return "identifier", C.TYPE_CONFIDENCE["identifier"]
+    return "text", C.TYPE_CONFIDENCE["text"]

@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from sheaf import constants as C
 
-SPACE = r"\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-SPACES = "\t\n\x0b\f\r \xa0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-SLASH_DATE = r"\A(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\z"
-ISO_DATE = r"\A(\d{4})-(\d{2})-(\d{2})\z"
-DAY_FIRST_NAME = r"\A(\d{1,2})\s+([A-Za-z]{3,9})\.?,?\s+(\d{4})\z"
-MONTH_FIRST_NAME = r"\A([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})\z"
+SPACE = C.SPACES
+SLASH_DATE, ISO_DATE, DAY_FIRST_NAME, MONTH_FIRST_NAME = (
+    rf"\A{p}\z" for p in (C.SLASH_DATE, C.ISO_DATE, C.DAY_FIRST_NAME, C.MONTH_FIRST_NAME)
+)
 MONEY_WORD = r"(?i)\b(" + "|".join(C.CURRENCY_WORDS) + r"|Rs\.?)\b"
 
 
@@ -33,7 +31,7 @@ def pinned(df: DataFrame, name: str, c: Column) -> DataFrame:
 
 def js_trim(c: Column) -> Column:
     """Trim of all Unicode white space; Spark's own trim without a list knows the space alone."""
-    return F.btrim(c, F.lit(SPACES))
+    return F.btrim(c, F.lit(C.SPACES))
 
 
 def shape_of(c: Column) -> Column:
@@ -74,21 +72,21 @@ def parse_trimmed_date(t: Column, style: Column | str = "unknown") -> Column:
     def named(pattern: str, day: int, month: int) -> Column:
         m, d = month_number(part(pattern, month)), number(pattern, day)
         # a year keeps no leading zeros once it has been a number
-        made = _date(iso_of(number(pattern, 3), m, d), 0.96, "named", False)
+        made = _date(iso_of(number(pattern, 3), m, d), C.DATE_CONFIDENCE["named"], "named", False)
         return F.when(m.isNotNull() & d.between(1, 31), made)
 
     a, b, year = (number(SLASH_DATE, k) for k in (1, 2, 3))
     unknown = style == "unknown"
     open_ = _date(
-        F.when(style == "mdy", iso_of(year, a, b)).otherwise(iso_of(year, b, a)), F.when(unknown, 0.45).otherwise(0.85), style, unknown
+        F.when(style == "mdy", iso_of(year, a, b)).otherwise(iso_of(year, b, a)), F.when(unknown, C.DATE_CONFIDENCE["open"]).otherwise(C.DATE_CONFIDENCE["settled"]), style, unknown
     )
     slash = (
-        F.when((a > 12) & (b <= 12), _date(iso_of(year, b, a), 0.95, "dmy", False))
-        .when((b > 12) & (a <= 12), _date(iso_of(year, a, b), 0.95, "mdy", False))
+        F.when((a > 12) & (b <= 12), _date(iso_of(year, b, a), C.DATE_CONFIDENCE["proved"], "dmy", False))
+        .when((b > 12) & (a <= 12), _date(iso_of(year, a, b), C.DATE_CONFIDENCE["proved"], "mdy", False))
         .when((a <= 12) & (b <= 12), open_)
     )
     return (
-        F.when(t.rlike(ISO_DATE), _date(t, 0.98, "iso", False))
+        F.when(t.rlike(ISO_DATE), _date(t, C.DATE_CONFIDENCE["iso"], "iso", False))
         .when(t.rlike(DAY_FIRST_NAME), named(DAY_FIRST_NAME, 1, 2))
         .when(t.rlike(MONTH_FIRST_NAME), named(MONTH_FIRST_NAME, 2, 1))
         .when(t.rlike(SLASH_DATE), slash)
@@ -122,11 +120,11 @@ def with_date(df: DataFrame, t: str, name: str, style: Column, proof: str | None
     told = lambda *v: F.struct(
         *[(x if isinstance(x, Column) else F.lit(x)).cast(k).alias(n) for x, (n, k) in zip(v, (("confidence", "double"), ("style", "string"), ("ambiguous", "boolean")))]
     )
-    open_ = told(F.when(unknown, 0.45).otherwise(0.85), style, unknown)
+    open_ = told(F.when(unknown, C.DATE_CONFIDENCE["open"]).otherwise(C.DATE_CONFIDENCE["settled"]), style, unknown)
     facts = (
-        F.when(form == 1, told(0.98, "iso", False))
-        .when(form.isin(2, 3) & b.isNotNull() & a.between(1, 31), told(0.96, "named", False))
-        .when(day, told(0.95, "dmy", False)).when(month, told(0.95, "mdy", False)).when((form == 4) & (a <= 12) & (b <= 12), open_)
+        F.when(form == 1, told(C.DATE_CONFIDENCE["iso"], "iso", False))
+        .when(form.isin(2, 3) & b.isNotNull() & a.between(1, 31), told(C.DATE_CONFIDENCE["named"], "named", False))
+        .when(day, told(C.DATE_CONFIDENCE["proved"], "dmy", False)).when(month, told(C.DATE_CONFIDENCE["proved"], "mdy", False)).when((form == 4) & (a <= 12) & (b <= 12), open_)
     )
     staged = staged.withColumn("__facts", facts)
     made = F.struct(F.when(form == 1, F.col(t)).otherwise(reading).alias("iso"), "__facts.confidence", "__facts.style", "__facts.ambiguous")
@@ -163,8 +161,8 @@ def _money(cleaned: Column, negated: Column, symbol: Column, code: Column) -> Co
     currency = F.when(symbol.isNotNull(), names[symbol]).when(code == "RS", "INR").when(code != "", code)
     signal = currency.isNotNull() | negated | cleaned.rlike(r"\.\d{2}\z")
     amount = cleaned.try_cast("double") * F.when(negated, -1.0).otherwise(1.0)
-    made = F.struct(amount.alias("amount"), currency.alias("currency"), F.when(currency.isNotNull(), 0.95).otherwise(0.7).alias("confidence"))
-    return F.when(cleaned.rlike(r"\A-?\d+(\.\d{1,4})?\z") & signal, made)
+    made = F.struct(amount.alias("amount"), currency.alias("currency"), F.when(currency.isNotNull(), C.MONEY_CONFIDENCE["named"]).otherwise(C.MONEY_CONFIDENCE["bare"]).alias("confidence"))
+    return F.when(cleaned.rlike(rf"\A{C.AMOUNT}\z") & signal, made)
 
 
 def parse_money(c: Column) -> Column:
@@ -190,25 +188,25 @@ def with_money(df: DataFrame, t: Column, name: str) -> DataFrame:
 
 
 def is_email(t: Column) -> Column:
-    return t.contains("@") & t.rlike(r"\A[\w.+-]+@[\w-]+\.[\w.]+\z")
+    return t.contains("@") & t.rlike(rf"\A{C.EMAIL}\z")
 
 
 def is_boolean(t: Column) -> Column:
-    return (F.length(t) <= 5) & t.rlike(r"(?i)\A(yes|no|true|false|y|n)\z")
+    return (F.length(t) <= 5) & t.rlike(rf"(?i)\A({C.BOOLEAN})\z")
 
 
 def is_phone(t: Column) -> Column:
     digits = F.length(F.regexp_replace(t, r"\D", ""))
-    return t.rlike(rf"\A\+?[\d(][\d{SPACE}().-]{{8,}}\z") & (digits >= 9) & ~t.rlike(r"\A\d{1,4}[/.-]\d{1,2}[/.-]\d{2,4}\z")
+    return t.rlike(rf"\A{C.PHONE}\z") & (digits >= C.PHONE_DIGITS) & ~t.rlike(rf"\A{C.NO_PHONE}\z")
 
 
 def is_identifier(t: Column) -> Column:
     return (
-        (F.length(t) <= 40)
+        (F.length(t) <= C.IDENTIFIER_LENGTH)
         & ~t.rlike(rf"[{SPACE}]{{2,}}")
         & t.rlike(r"\d")
-        & t.rlike(r"\A[A-Za-z0-9][A-Za-z0-9/*_. #-]*\z")
-        & (F.size(F.split(t, rf"[{SPACE}]+")) <= 3)
+        & t.rlike(rf"\A{C.IDENTIFIER}\z")
+        & (F.size(F.split(t, rf"[{SPACE}]+")) <= C.IDENTIFIER_WORDS)
     )
 
 
@@ -225,15 +223,15 @@ def _cascade(t: Column, date: Column, money: Column) -> Column:
     yes = t.rlike(r"(?i)\A(yes|true|y)\z")
     return (
         F.when(t == "", typed("text", None))
-        .when(is_email(t), typed("email", F.lower(t), confidence=0.98))
-        .when(is_boolean(t), typed("boolean", yes.cast("string"), boolean=yes, confidence=0.9))
+        .when(is_email(t), typed("email", F.lower(t), confidence=C.TYPE_CONFIDENCE["email"]))
+        .when(is_boolean(t), typed("boolean", yes.cast("string"), boolean=yes, confidence=C.TYPE_CONFIDENCE["boolean"]))
         .when(date.isNotNull(), typed("date", date["iso"], confidence=date["confidence"]))
-        .when(is_phone(t), typed("phone", F.regexp_replace(t, r"[^\d+]", ""), confidence=0.85))
+        .when(is_phone(t), typed("phone", F.regexp_replace(t, r"[^\d+]", ""), confidence=C.TYPE_CONFIDENCE["phone"]))
         .when(money.isNotNull(), typed("money", money["amount"], money["amount"], currency=money["currency"], confidence=money["confidence"]))
-        .when(bare.rlike(r"\A-?\d+\z"), typed("integer", bare, bare.try_cast("double"), confidence=0.9))
-        .when(bare.rlike(r"\A-?\d*\.\d+\z"), typed("number", bare, bare.try_cast("double"), confidence=0.9))
-        .when(is_identifier(t), typed("identifier", t, confidence=0.75))
-        .otherwise(typed("text", t, confidence=0.6))
+        .when(bare.rlike(rf"\A{C.INTEGER}\z"), typed("integer", bare, bare.try_cast("double"), confidence=C.TYPE_CONFIDENCE["integer"]))
+        .when(bare.rlike(rf"\A{C.NUMBER}\z"), typed("number", bare, bare.try_cast("double"), confidence=C.TYPE_CONFIDENCE["number"]))
+        .when(is_identifier(t), typed("identifier", t, confidence=C.TYPE_CONFIDENCE["identifier"]))
+        .otherwise(typed("text", t, confidence=C.TYPE_CONFIDENCE["text"]))
     )
 
 

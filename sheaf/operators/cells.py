@@ -11,7 +11,7 @@ from sheaf.plans.staging import stage
 
 
 #: Confidence of a date whose order nothing settles, and of one that its column's style settles.
-AMBIGUOUS, SETTLED = 0.45, 0.85
+AMBIGUOUS, SETTLED = C.DATE_CONFIDENCE["open"], C.DATE_CONFIDENCE["settled"]
 
 
 def first_candidates(candidates: DataFrame, labels: DataFrame) -> DataFrame:

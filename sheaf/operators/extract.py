@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -30,7 +29,7 @@ ANALYSED = (
     "doc_id string, fields array<struct<label:string,value:string,page:int,relation:string,type:string,confidence:double,"
     "x:double,y:double,w:double,h:double,label_x:double,label_y:double,label_w:double,label_h:double>>, "
     "tables array<struct<page:int,header:array<string>,rows:array<array<string>>,columns:int,x:double,y:double,w:double,h:double>>, "
-    "narrative array<string>, said string, width double, height double"
+    "narrative array<string>, said string, width double, height double, heads array<string>"
 )
 
 
@@ -258,15 +257,20 @@ def _box(b: Box, prefix: str = "") -> dict[str, float]:
     return {f"{prefix}{k}": float(getattr(b, k)) for k in "xywh"}
 
 
-def analyse_documents(tokens: DataFrame, pages: DataFrame, recurring: Iterable[str] | None = None) -> DataFrame:
-    """One row per document with its fields, tables, prose, self-description and first page's size.
+def heads_of(pages: list[Page]) -> list[str]:
+    """Texts that begin a line of several runs: what can be the first cell of a table's row."""
+    return sorted({line.segments[0].text for p in pages for line in p.lines if len(line.segments) > 1})
 
-    A group holds one document's tokens, so the shuffle key is the document and no group grows with the pile.
+
+def analyse_documents(tokens: DataFrame, pages: DataFrame, recurring: DataFrame | None = None) -> DataFrame:
+    """One row per document with its fields, tables, prose, self-description, first page's size and line heads.
+
+    recurring: doc_id and label, of each document's heads those that recur as labels over the pile. A group
+    holds one document's tokens and labels, so the shuffle key is the document and no group grows with the pile.
     """
-    known = None if recurring is None else set(recurring)
     rows = pages.select("doc_id", "page", "width", "height").join(tokens, ["doc_id", "page"], "left")
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def analysed(doc_id: str, group: pd.DataFrame, known: set[str] | None) -> pd.DataFrame:
         found = document_pages(group)
         fields, tables, prose = analyse(found, known)
         shown = [
@@ -280,11 +284,17 @@ def analyse_documents(tokens: DataFrame, pages: DataFrame, recurring: Iterable[s
         ]
         first = found[0]
         return pd.DataFrame({
-            "doc_id": [key[0]], "fields": [shown], "tables": [grids], "narrative": [prose],
-            "said": [self_description(first)], "width": [first.width], "height": [first.height],
+            "doc_id": [doc_id], "fields": [shown], "tables": [grids], "narrative": [prose],
+            "said": [self_description(first)], "width": [first.width], "height": [first.height], "heads": [heads_of(found)],
         })
 
-    return rows.groupBy("doc_id").applyInPandas(run, ANALYSED)
+    if recurring is None:
+        return rows.groupBy("doc_id").applyInPandas(lambda key, group: analysed(key[0], group, None), ANALYSED)
+
+    def again(key: tuple, group: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        return analysed(key[0], group, set(known["label"])) if len(group) else pd.DataFrame()
+
+    return rows.groupBy("doc_id").cogroup(recurring.select("doc_id", "label").groupBy("doc_id")).applyInPandas(again, ANALYSED)
 
 
 def label_frequency(candidates: DataFrame) -> DataFrame:
@@ -299,11 +309,12 @@ def recurring_labels(candidates: DataFrame, documents: int) -> DataFrame:
 def analyse_pile(tokens: DataFrame, pages: DataFrame) -> DataFrame:
     """Two passes: labels that recur over the pile tell, in the second, fields from table rows.
 
-    The recurring labels are a vocabulary of the pile's templates; they go to the kernel as a set.
+    The pile's vocabulary stays a table: each document meets it by equality with the heads of its lines.
     """
     first = stage(analyse_documents(tokens, pages), "pile-first")
-    labels = recurring_labels(candidates_of(first), first.count()).collect()
-    return analyse_documents(tokens, pages, [r["label"] for r in labels])
+    labels = recurring_labels(candidates_of(first), first.count())
+    heads = first.select("doc_id", F.explode("heads").alias("label"))
+    return analyse_documents(tokens, pages, heads.join(labels, "label"))
 
 
 def candidates_of(analysed: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ aggregate or a comparison with the row before is a DataFrame operation.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import cmp_to_key
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,37 +170,32 @@ def page_of(index: int, width: float, height: float, tokens: list[Token]) -> Pag
 
 
 def columns_of(words: list[Word], page_width: float) -> list[tuple[float, float]]:
-    """(x, width) of text columns: between corridors that are wide, inner, and flanked by shared bands."""
+    """(x, width) of text columns: what lies between corridors that no word crosses.
+
+    A corridor is wide, well inside the text, and has lines of text (bands of its height) on both sides.
+    """
     if len(words) < C.COLUMN_MIN_WORDS:
         return []
     text = around([w.box for w in words])
+    step, steps = C.COLUMN_BUCKET, math.ceil(page_width / C.COLUMN_BUCKET)
     if text.h <= 0:
         return []
-    buckets = -int(-page_width // C.COLUMN_BUCKET)
-    used = [0.0] * buckets
-    for w in words:
-        for i in range(max(0, int(w.box.x // C.COLUMN_BUCKET)), min(buckets - 1, int(w.box.right // C.COLUMN_BUCKET)) + 1):
-            used[i] += w.box.h
-    corridors, start = [], None
-    for i, u in enumerate(used):
-        if u == 0 and start is None:
-            start = i
-        elif u and start is not None:
-            corridors.append((start * C.COLUMN_BUCKET, i * C.COLUMN_BUCKET))
-            start = None
-    band = lambda w: int((w.box.middle - text.y) // max(1.0, text.h / C.COLUMN_BANDS))
-    kept = []
-    for a, b in corridors:
-        if b - a < C.COLUMN_GUTTER or a <= text.x + C.COLUMN_MARGIN or b >= text.right - C.COLUMN_MARGIN:
-            continue
-        middle = (a + b) / 2
-        left = {band(w) for w in words if w.box.right <= middle}
-        right = {band(w) for w in words if w.box.right > middle and w.box.x >= middle}
-        if len(left & right) >= C.COLUMN_SHARED:
-            kept += [a, b]
-    edges = [text.x, *kept, text.right]
-    found = [(a, b - a) for a, b in zip(edges[::2], edges[1::2]) if b - a > C.COLUMN_WIDTH]
-    return found if len(found) >= 2 else []
+    left, right, middle = np.array([(w.box.x, w.box.right, w.box.middle) for w in words if w.box.h]).T
+    crossed = np.zeros(steps + 1, int)  # +1 where a word enters, -1 after it leaves
+    np.add.at(crossed, np.clip(left // step, 0, steps).astype(int), 1)
+    np.add.at(crossed, np.clip(right // step + 1, 0, steps).astype(int), -1)
+    free = np.concatenate(([False], np.cumsum(crossed)[:steps] == 0, [False]))
+    opens, closes = (np.flatnonzero(np.diff(free.astype(int)) == s) * step for s in (1, -1))
+    band = ((middle - text.y) // max(1.0, text.h / C.COLUMN_BANDS)).astype(int)
+    inner = (closes - opens >= C.COLUMN_GUTTER) & (opens > text.x + C.COLUMN_MARGIN) & (closes < text.right - C.COLUMN_MARGIN)
+    bounds = [text.x]
+    for a, b in zip(opens[inner].tolist(), closes[inner].tolist()):
+        centre = (a + b) / 2
+        if len(np.intersect1d(band[right <= centre], band[left >= centre])) >= C.COLUMN_SHARED:
+            bounds += [a, b]
+    bounds.append(text.right)
+    found = [(x, end - x) for x, end in zip(bounds[::2], bounds[1::2]) if end - x > C.COLUMN_WIDTH]
+    return found if len(found) > 1 else []
 
 
 # DataFrame operators --------------------------------------------------------------------------------

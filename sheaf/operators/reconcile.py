@@ -7,6 +7,8 @@ whole groups, so it is a small fold over one kind's labels.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,6 +64,12 @@ def cooccurrence(candidates: DataFrame) -> DataFrame:
     return a.join(b, ["kind", "doc_id"]).filter("a < b").select("kind", "a", "b").distinct()
 
 
+def told(reason: str, **values: Column) -> Column:
+    """A reason's sentence with its places filled."""
+    parts = re.split(r"\{(\w+)\}", C.REASONS[reason])
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
 def merge_score(a: str, b: str, together: Column) -> Column:
     """Struct(score, blocked, reasons) of two labels' statistics (structs named a and b)."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
@@ -86,22 +94,19 @@ def merge_score(a: str, b: str, together: Column) -> Column:
         + F.when(close, C.RANK_CLOSE_WEIGHT).when(near, C.RANK_NEAR_WEIGHT).otherwise(0.0)
         + F.when(placed, place * C.POSITION_WEIGHT).otherwise(0.0)
     )
-    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    amounts = F.when(x("type") == "money", F.lit("amounts")).otherwise(say(x("type"), " values"))
+    amounts = F.when(x("type") == "money", "amounts").otherwise(F.concat(x("type"), F.lit(" values")))
+    shape, turn = F.element_at(x("shapes"), 1), ordinal(F.floor(x("rank") + 0.5) + 1)
     reasons = F.array_compact(F.array(
-        F.when(named & (name > C.NAME_CLEAR), "the names mean the same thing once abbreviations are expanded").when(named, "the names share a word"),
-        F.when(shaped, say("the values have the same shape (", F.element_at(x("shapes"), 1), ")")).when(alike, say("both hold ", amounts, ", written differently")),
-        F.when(close, say("each is the ", ordinal(F.floor(x("rank") + 0.5) + 1), " ", x("type"), " field on its document"))
-        .when(near, say("they play a similar role among the ", x("type"), " fields on their documents")),
-        F.when(placed, "they sit in the same part of the page across layouts"),
+        F.when(named & (name > C.NAME_CLEAR), told("same_name")).when(named, told("shared_word")),
+        F.when(shaped, told("shape", shape=shape)).when(alike, told("type", type=amounts)),
+        F.when(close, told("rank", ordinal=turn, type=x("type"))).when(near, told("near_rank", type=x("type"))),
+        F.when(placed, told("place")),
     ))
     made = lambda s, blocked, why: F.struct(s.alias("score"), F.lit(blocked).alias("blocked"), why.alias("reasons"))
-    apart = say('"', x("label"), '" and "', y("label"), '" appear together on the same document, so they are different fields')
-    nothing = lambda why: F.array(why if isinstance(why, Column) else F.lit(why))
     return (
-        F.when(together, made(F.lit(0.0), True, nothing(apart)))
-        .when(~compatible, made(F.lit(0.0), False, nothing("their values are different kinds of thing")))
-        .when(signals < C.MIN_SIGNALS, made(F.lit(0.0), False, nothing("not enough agreement to be sure")))
+        F.when(together, made(F.lit(0.0), True, F.array(told("apart", a=x("label"), b=y("label")))))
+        .when(~compatible, made(F.lit(0.0), False, F.array(told("unlike"))))
+        .when(signals < C.MIN_SIGNALS, made(F.lit(0.0), False, F.array(told("weak"))))
         .otherwise(made(F.least(F.lit(1.0), score), False, reasons))
     )
 

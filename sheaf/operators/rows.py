@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf import constants as C
+from sheaf.plans.staging import stage
 
 
 def display_text(df: DataFrame, name: str) -> Column:
@@ -41,6 +42,21 @@ def rows(df: DataFrame | None, query: str | None = None, sort: str | None = None
     return search(df, query).orderBy(order_of(df, sort, direction)).limit(n)
 
 
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Numbers a whole table from 1 in an order, range by range: no task sees more than its range.
+
+    Ranges are dealt by a sample of the order; each is numbered by itself, and the rows of the ranges
+    before it, one number a range, are added.
+    """
+    dealt = stage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "placed")
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    numbered = dealt.withColumn(name, own).join(F.broadcast(bases), "__part")
+    return numbered.withColumn(name, (F.col(name) + F.col("__base")).cast("long")).drop("__part", "__base")
+
+
 def reviewed(df: DataFrame) -> DataFrame:
     """Rows of a committed table that nothing is left to review in."""
     return df.filter("_needs_review = 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sheaf import constants as C
+
 VENDOR_CASES = """
 pile AS (
   SELECT o_orderkey::VARCHAR AS document, o_orderkey, o_custkey, 0 AS ord, 'date' AS field, 0.5 AS confidence,
@@ -20,11 +22,9 @@ pile AS (
       || CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN ')' ELSE '' END
   FROM orders)"""
 
-MONTH_LIST = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
-SLASH = r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})"
-DAY_NAME = r"(\d{1,2})\s+([A-Za-z]{3,9})\.?,?\s+(\d{4})"
-NAME_DAY = r"([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})"
-WORDS = r"\b(INR|USD|GBP|EUR|AUD|SGD|AED|CAD|JPY|Rs\.?)\b"
+MONTH_LIST = str(list(C.MONTHS))
+SLASH, DAY_NAME, NAME_DAY = C.SLASH_DATE, C.DAY_FIRST_NAME, C.MONTH_FIRST_NAME
+WORDS = r"\b(" + "|".join(C.CURRENCY_WORDS) + r"|Rs\.?)\b"
 
 
 def typed(source: str, style: str = "'unknown'") -> str:
@@ -42,13 +42,13 @@ dated AS (SELECT *,
     coalesce(nullif(regexp_extract(t, '^{DAY_NAME}$', 3), ''), regexp_extract(t, '^{NAME_DAY}$', 3)) AS ny
   FROM trimmed),
 isoed AS (SELECT *,
-    CASE WHEN regexp_full_match(t, '\d{{4}}-\d{{2}}-\d{{2}}') THEN t
+    CASE WHEN regexp_full_match(t, '{C.ISO_DATE}') THEN t
          WHEN nm > 0 AND nd BETWEEN 1 AND 31 THEN printf('%d-%02d-%02d', ny::INT, nm, nd)
          WHEN a > 12 AND b <= 12 THEN printf('%d-%02d-%02d', y::INT, b, a)
          WHEN b > 12 AND a <= 12 THEN printf('%d-%02d-%02d', y::INT, a, b)
          WHEN a <= 12 AND b <= 12 AND given_style = 'mdy' THEN printf('%d-%02d-%02d', y::INT, a, b)
          WHEN a <= 12 AND b <= 12 THEN printf('%d-%02d-%02d', y::INT, b, a) END AS iso,
-    CASE WHEN regexp_full_match(t, '\d{{4}}-\d{{2}}-\d{{2}}') THEN 0.98
+    CASE WHEN regexp_full_match(t, '{C.ISO_DATE}') THEN 0.98
          WHEN nm > 0 AND nd BETWEEN 1 AND 31 THEN 0.96
          WHEN (a > 12 AND b <= 12) OR (b > 12 AND a <= 12) THEN 0.95
          WHEN a <= 12 AND b <= 12 AND given_style = 'unknown' THEN 0.45
@@ -69,21 +69,21 @@ cleaned_ AS (SELECT *,
          WHEN code <> '' THEN trim(regexp_replace(i, '(?i){WORDS}', '')) ELSE i END, ',', ''), '^\+', '') AS cleaned
   FROM marked),
 paid AS (SELECT *,
-    regexp_full_match(cleaned, '-?\d+(\.\d{{1,4}})?') AND (currency IS NOT NULL OR negated OR regexp_matches(cleaned, '\.\d{{2}}$')) AS is_money,
+    regexp_full_match(cleaned, '{C.AMOUNT}') AND (currency IS NOT NULL OR negated OR regexp_matches(cleaned, '\.\d{{2}}$')) AS is_money,
     replace(t, ',', '') AS bare
   FROM cleaned_),
 typed AS (SELECT *,
     CASE WHEN t = '' THEN 'text'
-         WHEN regexp_full_match(t, '[\w.+-]+@[\w-]+\.[\w.]+') THEN 'email'
-         WHEN regexp_full_match(t, '(?i)(yes|no|true|false|y|n)') THEN 'boolean'
+         WHEN regexp_full_match(t, '{C.EMAIL}') THEN 'email'
+         WHEN regexp_full_match(t, '(?i)({C.BOOLEAN})') THEN 'boolean'
          WHEN iso IS NOT NULL THEN 'date'
          WHEN regexp_full_match(t, '\+?[\d(][\d\s().-]{{8,}}') AND length(regexp_replace(t, '\D', '', 'g')) >= 9
-              AND NOT regexp_full_match(t, '\d{{1,4}}[/.-]\d{{1,2}}[/.-]\d{{2,4}}') THEN 'phone'
+              AND NOT regexp_full_match(t, '{C.NO_PHONE}') THEN 'phone'
          WHEN is_money THEN 'money'
-         WHEN regexp_full_match(bare, '-?\d+') THEN 'integer'
-         WHEN regexp_full_match(bare, '-?\d*\.\d+') THEN 'number'
+         WHEN regexp_full_match(bare, '{C.INTEGER}') THEN 'integer'
+         WHEN regexp_full_match(bare, '{C.NUMBER}') THEN 'number'
          WHEN length(t) <= 40 AND NOT regexp_matches(t, '\s{{2,}}') AND regexp_matches(t, '\d')
-              AND regexp_full_match(t, '[A-Za-z0-9][A-Za-z0-9/*_. #-]*') AND len(regexp_split_to_array(t, '\s+')) <= 3 THEN 'identifier'
+              AND regexp_full_match(t, '{C.IDENTIFIER}') AND len(regexp_split_to_array(t, '\s+')) <= 3 THEN 'identifier'
          ELSE 'text' END AS type,
     CASE WHEN is_money THEN cleaned::DOUBLE * CASE WHEN negated THEN -1 ELSE 1 END END AS amount
   FROM paid),

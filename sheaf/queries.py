@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf import oracle_text as sql
@@ -188,7 +188,7 @@ def rows_sort_nulls_last(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("document"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal")).alias("balance")
     )
-    return c.withColumn("place", F.row_number().over(Window.orderBy(rows.order_of(c, "balance", "desc"), "document")))
+    return rows.placed(c, [rows.order_of(c, "balance", "desc"), F.col("document").asc()])
 
 
 @query("SELECT o_orderkey::VARCHAR AS document, o_totalprice FROM orders ORDER BY document LIMIT 500")

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from sheaf import constants as C
 from sheaf.operators import reconcile
 
 STATS = "kind int, label string, ord int, type string, shapes array<string>, rank double, px double, py double"
@@ -14,37 +15,37 @@ WORDS = {"Due Date": {"due", "date"}, "Date": {"date"}, "Inv. No": {"invoice", "
 
 def plain(a, b, together):
     if together:
-        return 0.0, True, [f'"{a["label"]}" and "{b["label"]}" appear together on the same document, so they are different fields']
+        return 0.0, True, [C.REASONS["apart"].format(a=a["label"], b=b["label"])]
     same = a["type"] == b["type"]
     if not same and {a["type"], b["type"]} not in ({"identifier", "text"}, {"money", "number"}):
-        return 0.0, False, ["their values are different kinds of thing"]
+        return 0.0, False, [C.REASONS["unlike"]]
     score, why = 0.0, []
     x, y = WORDS[a["label"]], WORDS[b["label"]]
     name = min(1, len(x & y) / len(x | y) + (0.25 if x <= y or y <= x else 0))
     if name > 0.15:
         score += name * 0.45
-        why.append("the names mean the same thing once abbreviations are expanded" if name > 0.6 else "the names share a word")
+        why.append(C.REASONS["same_name" if name > 0.6 else "shared_word"])
     if a["type"] in ("identifier", "text"):
         if set(a["shapes"]) & set(b["shapes"]):
             score += 0.18
-            why.append(f"the values have the same shape ({a['shapes'][0]})")
+            why.append(C.REASONS["shape"].format(shape=a["shapes"][0]))
     elif same:
         score += 0.12
-        why.append(f"both hold {'amounts' if a['type'] == 'money' else a['type'] + ' values'}, written differently")
+        why.append(C.REASONS["type"].format(type="amounts" if a["type"] == "money" else a["type"] + " values"))
     score += 0.12 * same
     gap = abs(a["rank"] - b["rank"])
     if gap < 0.25:
         score += 0.3
         place = math.floor(a["rank"] + 0.5) + 1
-        why.append(f"each is the {['', 'first', 'second', 'third', '4th'][place]} {a['type']} field on its document")
+        why.append(C.REASONS["rank"].format(ordinal=["", "first", "second", "third", "4th"][place], type=a["type"]))
     elif gap < 0.75:
         score += 0.18
-        why.append(f"they play a similar role among the {a['type']} fields on their documents")
+        why.append(C.REASONS["near_rank"].format(type=a["type"]))
     near = max(0, 1 - (abs(a["px"] - b["px"]) * 1.6 + abs(a["py"] - b["py"])) / 0.5)
     if near > 0.3:
         score += near * 0.15
-        why.append("they sit in the same part of the page across layouts")
-    return (min(1, score), False, why) if len(why) >= 2 else (0.0, False, ["not enough agreement to be sure"])
+        why.append(C.REASONS["place"])
+    return (min(1, score), False, why) if len(why) >= 2 else (0.0, False, [C.REASONS["weak"]])
 
 
 def test_pair_scores_equal_a_plain_twin(spark):
