@@ -37,7 +37,7 @@ MAX_FIT_CHARS = 16_384
 DICT_BYTES = 1 << 17
 MAX_LANGUAGES = 256
 #: Bytes that are compressed at once.
-WINDOW = 1 << 13
+WINDOW = 1 << 11
 LEVEL = 5
 #: A relative margin below this is narrow: the two best sizes are all but equal.
 NARROW = 0.002

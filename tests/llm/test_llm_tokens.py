@@ -127,6 +127,7 @@ def test_packing_documents(spark, monkeypatch):
     assert [c[2] for c in cut] == [first] + [64] * ((len(whole) - first) // 64)
     assert all(zlib.crc32(np.array(whole[a : a + n], dtype="<u4").tobytes()) == crc for _, a, n, crc in cut)
     assert len(spans) == best_fit([r["length"] for r in got], 64)
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in got)
     assert packing.pack_documents(docs(spark, []), 64).count() == 0
 
 
@@ -157,7 +158,7 @@ def plain_targets(sizes):
         capped |= {s: 2.0 * sizes[s] for s in over}
 
 
-def test_mixture(spark):
+def test_mixture(spark, monkeypatch):
     r = random.Random(4)
     rows = [(i, None if i % 41 == 0 else " ".join(["w"] * r.randint(0, 30)), None if i % 7 == 0 else f"s{i % 5}") for i in range(900)]
     rows += [(900, "a\u00a0b\tc", "solo"), (900, "a\u00a0b\tc", "solo")]
@@ -174,11 +175,29 @@ def test_mixture(spark):
     assert all(abs(taken[s] - want[s]) <= 60 for s in sizes) and sum(taken.values()) <= 1.5 * sum(sizes.values())
     again = {(g["doc_id"], g["source"]): g["taken"] for g in mixing.mix(df.repartition(2)).collect()}
     assert again == {(g["doc_id"], g["source"]): g["taken"] for g in got}
-    sampled = mixing.sample_documents(df.drop("size", "target"))
-    assert sampled.columns == ["doc_id", "text", "source"] and sampled.count() == sum(g["taken"] // g["size"] for g in got if g["size"])
+    sampled = mixing.sample_documents(df)
+    assert sampled.columns == df.columns and sampled.count() == sum(g["taken"] // g["size"] for g in got if g["size"])
+    assert {(q["size"], q["target"]) for q in sampled.collect()} == {("clash", 1)}
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 2)  # the edge is sliced again and again
+    monkeypatch.setattr(mixing, "SLICES", 4)
+    assert again == {(g["doc_id"], g["source"]): g["taken"] for g in mixing.mix(df).collect()}
     assert mixing.mix(df.filter("false")).count() == 0 and mixing.mix(df.filter("doc_id = 0")).first()["taken"] == 0
 
 
+def test_rows_of_one_id_in_the_mixture(spark):
+    """Rows without an id, of one source and size, in which the mixture ends: each comes as often as some entry of theirs."""
+    rows = [(None, f"{k} b c", "one") for k in range(40)] + [(i, "a b c", "two") for i in range(40)] + [(7, "a b c", "two")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    taken = sum(g["taken"] // 3 for g in mixing.mix(df).collect())
+    got = mixing.sample_documents(df).collect()
+    assert len(got) == taken and {tuple(r) for r in got} <= set(rows)
+    times: dict = {}
+    for r in got:
+        if r["doc_id"] is None:
+            times[r["text"]] = times.get(r["text"], 0) + 1
+    assert max(times.values()) <= 2
+
+
 URLS = [
     "http://a.example.net/en/1", "http://EXAMPLE.NET/de/", "https://net/", "http://net", "http://x.org/fr/a?b#c", "http://x.org/fr", "https://example.com/de/x", "ftp://deep.a.b.example.com/de/",
     "http://notexample.net/en/", "no scheme", None, "", "http://a.net?x=/en/", "http://user@h.example.net:80/en/", "file:///x", "http://h.example.net/en/" + "a/" * 300, "x://y://example.net/en/",
@@ -206,6 +225,25 @@ def test_url_rules(spark, monkeypatch, bound):
     assert {r["verdict"] for r in urls.judge(pages, urls.rule_table(spark, urls.RULES[:1]).filter("false")).collect()} == {"allow"}
 
 
+OPEN_RULES = (("org", "/fr", "block"), ("b.org", "/fr/x", "allow"), ("com", "", "block"), ("a.com", "/d", "allow"), ("net", "/", "block"))
+
+
+def test_rules_that_end_anywhere(spark):
+    """A path fits whatever starts with it, and an empty one everything."""
+    pages = ["http://x.org/fr", "http://x.org/french", "http://x.org/fr/x", "http://b.org/fr/x1", "http://b.org/f", "http://q.com", "http://q.com/z", "http://a.com/d",
+             "http://z.a.com/dd/e", "http://a.com/c", "http://net", "http://net/", None, "http://h.edu/x"]
+    rules = OPEN_RULES
+    rows = spark.createDataFrame([(i % 9 if i % 4 else None, u) for i, u in enumerate(pages * 3)], "page_id long, url string").repartition(3)
+    got: dict = {}
+    for r in urls.judge(rows, urls.rule_table(spark, rules)).collect():
+        got.setdefault((r["host"], r["path"]), []).append((r["rule"], r["verdict"]))
+    assert sum(map(len, got.values())) == 3 * len(pages)
+    for u in pages:
+        host, path = plain_verdict(u)[:2]
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert set(got[(host, path)]) == {max(fits)[1:] if fits else (None, "allow")}
+
+
 def test_media(spark):
     rows = [(i, t) for i, t in enumerate([*TEXTS, "x" * 40000, "abc", "abc"])]
     got = {r["doc_id"]: r for r in media.describe_media(media.store_media(docs(spark, rows))).collect()}
