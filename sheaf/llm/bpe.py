@@ -17,7 +17,7 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 REGULAR_SPACE = re.compile(r"(?<=\S)(?= \S)")
 TRAILING = frozenset(".,;:!?")
 
@@ -44,25 +44,28 @@ class ChunkedBpe:
         self.cuts = cuts_at_spaces(self.library)
         self.model = self.library.model
         self.letters = _byte_letters()
+        self.space = self.letters[32]
+        self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
         self.line_feed = self._library("\n")
 
     def _library(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        packed = self.packed
+        return b"".join([packed[i] for i in self.library.encode(text, add_special_tokens=False).ids])
 
-    def _word(self, word: str) -> bytes:
-        """One pre-token, given to the library's model in its byte-level letters."""
-        shown = word.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+    def _word(self, word: str, space: str) -> bytes:
+        """One pre-token of letters, given to the library's model in its byte-level letters."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(self.space + shown if space else shown)])
 
     def _chunk(self, chunk: str, space: str) -> bytes:
         if chunk.isalpha():
-            return self._word(space + chunk)
+            return self._word(chunk, space)
         if len(chunk) > 1 and chunk[-1] in TRAILING and chunk[:-1].isalpha():
-            return self._known(chunk[:-1], space) + self._word(chunk[-1])
+            return self._known(chunk[:-1], space) + self._word(chunk[-1], "")
         return self._library(space + chunk)
 
     def _known(self, chunk: str, space: str) -> bytes:
@@ -88,14 +91,17 @@ class ChunkedBpe:
             return self._library(text)
         if text.split() != text.replace("\n", " ").split(" "):  # other white space, or two of it side by side
             return b"".join([self._known(c, "") for c in REGULAR_SPACE.split(text)])
-        spaced, out = self.spaced, []
-        for k, (head, *rest) in enumerate(line.split(" ") for line in text.split("\n")):
+        get, known, out = self.spaced.get, self._known, []
+        for k, line in enumerate(text.split("\n")):
             if k:
                 out.append(self.line_feed)
-            out.append(self._known(head, ""))
-            for w in rest:
-                got = spaced.get(w)
-                out.append(got if got is not None else self._known(w, " "))
+            head, *rest = line.split(" ")
+            out.append(known(head, ""))
+            got = list(map(get, rest))
+            if None in got:
+                got = [known(w, " ") if g is None else g for g, w in zip(got, rest)]
+                get = self.spaced.get
+            out += got
         return b"".join(out)
 
 

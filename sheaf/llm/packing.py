@@ -19,6 +19,7 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,12 +31,12 @@ from sheaf.llm.tokenfiles import END_ID, default_tokenizer
 from sheaf.plans.staging import stage
 
 CAPACITY = 1024
-PIECE = "piece int, start long, length long, ids binary"
+PIECE = "piece int, start long, length long"
 PLAN = "length long, lo long, hi long, bin long, per long, offset long"
 #: Pieces of one length that one bucket of the numbering holds, about.
 BUCKET_PIECES = 1024
 #: Bytes of ids that are handed on together, about.
-PART_BYTES = 1 << 23
+PART_BYTES = 1 << 21
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -46,31 +47,39 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((a, capacity) for a in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece of every whole text."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and ids (little-endian unsigned 32-bit) of every piece of every whole text.
+
+    Without ids only their digest is handed on.
+    """
     tokenizer = tokenizer or default_tokenizer()
 
     def start():
         bpe, end = encoder(tokenizer), end_id.to_bytes(4, "little")
 
         def work(texts: list[str | None]) -> Iterator[tuple[list[int], tuple]]:
-            of, rows, size = [], [], 0
+            of, columns, size = [], ([], [], [], [], []), 0
             for i, text in enumerate(texts):
                 ids = bpe.encode(text) + end
+                view = memoryview(ids)
                 for k, (a, n) in enumerate(cut(len(ids) // 4, capacity)):
                     of.append(i)
-                    rows.append((k, a, n, ids[4 * a : 4 * (a + n)]))
+                    own = view[4 * a : 4 * (a + n)]
+                    for column, value in zip(columns, (k, a, n, zlib.crc32(own))):
+                        column.append(value)
+                    if with_ids:
+                        columns[4].append(bytes(own))
                 size += len(ids)
                 if size > PART_BYTES:
-                    yield of, tuple(zip(*rows))
-                    of, rows, size = [], [], 0
+                    yield of, columns
+                    of, columns, size = [], ([], [], [], [], []), 0
             if of:
-                yield of, tuple(zip(*rows))
+                yield of, columns
 
         work.close = bpe.forget
         return work
 
-    return with_many(docs, ("doc_id",), PIECE, start)
+    return with_many(docs, ("doc_id",), PIECE + ", ids_crc32 long" + (", ids binary" if with_ids else ""), start)
 
 
 class Rooms:
@@ -172,14 +181,10 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
 
     The ids of a sequence in the order of ``offset`` are what a trainer reads.
     """
-    return pack(stage(with_digest(pieces(docs, capacity, tokenizer)), "pieces"), capacity)
-
-
-def with_digest(found: DataFrame) -> DataFrame:
-    return found.withColumn("ids_crc32", F.crc32("ids"))
+    return pack(stage(pieces(docs, capacity, tokenizer), "pieces"), capacity)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    """Packs the pieces' digests alone; ``pack_documents`` carries the ids themselves."""
+    """Packs the pieces by their digests alone; ``pack_documents`` carries the ids themselves."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(stage(with_digest(pieces(docs)).drop("ids"), "pieces"))
+    return pack(stage(pieces(docs, with_ids=False), "pieces"))

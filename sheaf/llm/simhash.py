@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from sheaf.llm.batches import bound_batches
 from sheaf.plans.staging import stage
 
 SEED = 42
@@ -106,7 +107,7 @@ def fingerprint_column(text: str, shingle_words: int = 3) -> Column:
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``fp`` (signed long) of every row."""
-    return docs.select(*keep, text).select(*keep, fingerprint_column(text).alias("fp"))
+    return bound_batches(docs).select(*keep, text).select(*keep, fingerprint_column(text).alias("fp"))
 
 
 def hamming(a: Column, b: Column) -> Column:

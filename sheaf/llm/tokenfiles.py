@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from sheaf.llm.batches import sliced
+from sheaf.llm.batches import bound_batches, give_back, sliced
 from sheaf.llm.bpe import encoder
 from sheaf.plans.staging import stage_path
 
@@ -198,8 +198,10 @@ def write_token_files(
                     held, names, size, no_id = [], [], 0, 0
         if held:
             yield close()
+        bpe.forget()
+        give_back()
 
-    dealt.mapInArrow(run, SCHEMA).write.parquet(path)
+    bound_batches(dealt).mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 def part_offsets(files: DataFrame) -> dict[int, int]:
