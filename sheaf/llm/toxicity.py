@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.batches import with_results
+from sheaf.llm.batches import give_back, with_results
 
 FIT_ROWS = 8000
 BUCKETS = 1 << 20
@@ -110,17 +110,18 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, steps: int = 200, rate: f
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         w, v = theta[1 : m + 1], theta[m + 1 :].reshape(m, FACTORS)
-        vf = v[flat]
-        total = np.stack([np.bincount(doc, vf[:, k], n) for k in range(FACTORS)], axis=1)
-        logit = theta[0] + np.bincount(doc, w[flat], n) + 0.5 * ((total**2).sum(1) - np.bincount(doc, (vf**2).sum(1), n))
+        # factor by factor, so that the driver holds one number for each feature of a text at a time
+        totals, gv = np.empty((FACTORS, n)), np.empty((m, FACTORS))
+        logit = theta[0] + np.bincount(doc, w[flat], n)
+        for k in range(FACTORS):
+            vf = v[flat, k]
+            totals[k] = np.bincount(doc, vf, n)
+            logit += 0.5 * (totals[k] ** 2 - np.bincount(doc, vf * vf, n))
         miss = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - labels) / n
         each = miss[doc]
-        gv = each[:, None] * (total[doc] - vf)
-        grad = np.concatenate((
-            [miss.sum()],
-            np.bincount(flat, each, m) + l2 * w,
-            (np.stack([np.bincount(flat, gv[:, k], m) for k in range(FACTORS)], axis=1) + l2 * v).ravel(),
-        ))
+        for k in range(FACTORS):
+            gv[:, k] = np.bincount(flat, each * (totals[k][doc] - v[flat, k]), m) + l2 * v[:, k]
+        grad = np.concatenate(([miss.sum()], np.bincount(flat, each, m) + l2 * w, gv.ravel()))
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     index = {int(b): i for i, b in enumerate(kept)}
@@ -144,7 +145,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     terms = with_results(rows, ("doc_id", "toxic"), "terms binary", start)
     got = terms.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms")).orderBy("doc_id").collect()
     samples = [np.frombuffer(bytes(r["terms"]), dtype="<i4") for r in got]
-    return fit(samples, np.array([float(r["toxic"] > 0) for r in got]))
+    marks = np.array([float(r["toxic"] > 0) for r in got])
+    del got
+    machine = fit(samples, marks)
+    del samples
+    give_back()
+    return machine
 
 
 def score_frame(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
