@@ -9,9 +9,10 @@ That no text is without a hash, the ``FEW`` smallest are kept even where they li
 comparisons leave those out. Where fewer than ``FEW`` hashes of either text lie under the threshold, a
 sketch can't tell, and the two texts' whole sets of shingles are compared instead.
 
-The next document is found from ids and digests of the texts alone: these are dealt by ranges of their
-order (sampled, so neither wide nor outlying ids matter), each range is numbered by itself, and one row
-for each range closes the ring. Texts then meet by two equi-joins.
+The next document is found in ranges of the order of ids and digests. Spark's sample of that order deals
+ids and digests alone into ranges, so neither wide nor outlying ids matter; a range's last key is its bound.
+Rows then go to their ranges by comparison with the bounds, the last row of each also to the next range, so
+texts are shuffled once and each range is ordered by itself.
 
 Cases: a null text counts as empty and has an empty sketch, written ``4:``; likeness is the share of the
 smaller set found in the other, 1 for two empty texts and 0 where one is empty and the other isn't;
@@ -22,8 +23,6 @@ itself; extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +34,8 @@ SCALE = 4
 FEW = 16
 FLOOR = -(1 << 63)
 SPACE = "[\\x20\\x09-\\x0D]+"
-#: The order of documents: without an id first, then by id, then by the text's digest.
-KEY = ("__known", "__id", "__digest")
+#: Rows of a range, about, and ranges at most (their bounds are a literal of the plan).
+RANGE_ROWS, RANGES = 4096, 4096
 
 
 def below(hashes: Column, scale: int = SCALE) -> Column:
@@ -85,46 +84,52 @@ def with_likeness(df: DataFrame, a: str, b: str, name: str, texts: tuple[str, st
     return with_sides.withColumn(name, got).drop("__a", "__b")
 
 
-def same_key(a: str, b: str) -> Column:
-    return reduce(Column.__and__, [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in KEY])
+def order_key(id: Column, text: Column) -> Column:
+    """A text that sorts as documents do: without an id first, then by id, then by the text's digest."""
+    place = F.lpad(F.hex(F.coalesce(id.cast("long"), F.lit(0)).bitwiseXOR(F.lit(FLOOR))), 16, "0")
+    return F.concat(F.when(id.isNull(), "0").otherwise("1"), place, F.md5(text))
 
 
-def succession(keys: DataFrame) -> DataFrame:
-    """``keys`` (distinct KEY, and other columns) with ``__next``: the key before it in ascending order, the last for the first."""
-    dealt = stage(keys.repartitionByRange(*KEY).withColumn("__part", F.spark_partition_id()), "sketch-keys")
-    key = F.struct(*KEY)
-    every = Window.orderBy("__part")
-    last = F.last("last").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ends = dealt.groupBy("__part").agg(F.max(key).alias("last"))  # a row for each range, at most one a partition
-    ends = ends.select("__part", F.coalesce(F.lag("last").over(every), last).alias("__before"))
-    inside = F.lag(key).over(Window.partitionBy("__part").orderBy(*KEY))
-    joined = dealt.withColumn("__next", inside).join(F.broadcast(ends), "__part")
-    return joined.withColumn("__next", F.coalesce("__next", "__before")).drop("__part", "__before")
+def place_in(bounds: list[str], key: str) -> Column:
+    """How many of the rising bounds are less than the key: first by steps of their square root, then inside a step."""
+    step = max(1, int(len(bounds) ** 0.5))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    less = lambda c: F.size(F.filter(c, lambda b: b < F.col(key)))
+    coarse = F.array(*[F.lit(p[-1]) for p in parts])
+    fine = F.array(*[F.array(*[F.lit(b) for b in p]) for p in parts])
+    passed = less(coarse)
+    return F.when(passed >= len(parts), len(bounds)).otherwise(passed * step + less(F.get(fine, passed)))
 
 
 def with_following(rows: DataFrame, id: str, text: str, name: str) -> DataFrame:
     """``id``, ``text`` and ``name``: the text of the next row in descending order of the id.
 
-    Rows that are repeated whole are one row while they are joined, and as many again at the end: all of
+    Rows that are repeated whole are one row while they are ordered, and as many again at the end: all of
     them but one are followed by their own text.
     """
-    rows = rows.select(F.col(id).alias("__id0"), F.col(text).alias("__text"))
-    rows = rows.withColumns({
-        "__known": F.col("__id0").isNotNull(), "__id": F.coalesce(F.col("__id0").cast("long"), F.lit(0)), "__digest": F.unhex(F.md5("__text")),
-    })
-    linked = succession(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n")))
-    repeated = stage(linked.filter("__n > 1").select(*KEY), "sketch-repeated")
-    unique, some = rows, not repeated.isEmpty()
-    if some:
-        many = rows.join(repeated, list(KEY), "left_semi").groupBy(*KEY).agg(F.first("__id0").alias("__id0"), F.first("__text").alias("__text"))
-        unique = rows.join(repeated, list(KEY), "left_anti").unionByName(many, allowMissingColumns=True)
-        unique = unique.select("__id0", "__text", *KEY)
-    led = unique.alias("r").join(linked.alias("k"), same_key("r", "k")).select("r.__id0", "r.__text", "k.__n", "k.__next.*")
-    out = led.alias("r").join(unique.alias("k"), same_key("r", "k")).select("r.__id0", "r.__text", "r.__n", F.col("k.__text").alias("__following"))
-    if some:
-        own = F.when(F.col("__n") > 1, F.array_repeat("__text", (F.col("__n") - 1).cast("int"))).otherwise(F.array().cast("array<string>"))
-        out = out.withColumn("__following", F.explode(F.concat(F.array("__following"), own)))
-    return out.select(F.col("__id0").alias(id), F.col("__text").alias(text), F.col("__following").alias(name))
+    rows = rows.select(F.col(id).alias("__id"), F.col(text).alias("__text"), order_key(F.col(id), F.col(text)).alias("__key"))
+    keys = stage(rows.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")), "sketch-keys")
+    ranges = max(1, min(RANGES, -(-keys.count() // RANGE_ROWS)))
+    dealt = keys.select("__key").repartitionByRange(ranges, "__key").groupBy(F.spark_partition_id().alias("part"))
+    bounds = sorted(r["last"] for r in dealt.agg(F.max("__key").alias("last")).collect())  # a key for each range
+    repeated = stage(keys.filter("__n > 1"), "sketch-repeated")
+    unique = rows.withColumn("__n", F.lit(1).cast("long"))
+    if not repeated.isEmpty():
+        many = rows.join(repeated, "__key").groupBy("__key").agg(F.first("__id").alias("__id"), F.first("__text").alias("__text"), F.first("__n").alias("__n"))
+        unique = unique.join(repeated.select("__key"), "__key", "left_anti").unionByName(many)
+    if not bounds:
+        return unique.select(F.col("__id").alias(id), F.col("__text").alias(text), F.col("__text").alias(name))
+    last = F.col("__key").isin(bounds) if len(bounds) <= 10 else F.array_contains(F.array(*[F.lit(b) for b in bounds]), F.col("__key"))
+    placed = unique.withColumns({"__part": place_in(bounds, "__key"), "__last": last})
+    own = F.struct(F.col("__part").alias("part"), F.lit(1).alias("own"))
+    sent = F.struct(((F.col("__part") + 1) % len(bounds)).alias("part"), F.lit(0).alias("own"))
+    copies = placed.withColumn("__to", F.explode(F.when(F.col("__last"), F.array(own, sent)).otherwise(F.array(own))))
+    order = Window.partitionBy("__to.part").orderBy("__to.own", "__key")
+    led = copies.withColumn("__following", F.lag("__text").over(order)).filter("__to.own = 1")
+    following = F.array("__following")
+    if not repeated.isEmpty():
+        following = F.concat(following, F.array_repeat("__text", (F.col("__n") - 1).cast("int")))
+    return led.select(F.col("__id").alias(id), F.col("__text").alias(text), F.explode(following).alias(name))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
