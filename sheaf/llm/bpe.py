@@ -79,6 +79,15 @@ class ChunkedBpe:
                 memo[chunk] = got
         return got
 
+    def _missed(self, word: str) -> bytes:
+        """``_known(word, " ")`` of a word that wasn't known when its line was begun, the usual kind first."""
+        if not word.isalpha() or len(word) > 64 or len(self.spaced) >= REMEMBERED:
+            return self._known(word, " ")
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        packed = self.packed
+        got = self.spaced[word] = b"".join([packed[t.id] for t in self.model.tokenize(self.space + shown)])
+        return got
+
     def forget(self) -> None:
         """Give back the memory of remembered chunks; a worker may go on to other stages."""
         self.spaced, self.plain = {}, {}
@@ -99,7 +108,7 @@ class ChunkedBpe:
             out.append(known(head, ""))
             got = list(map(get, rest))
             if None in got:
-                got = [known(w, " ") if g is None else g for g, w in zip(got, rest)]
+                got = [self._missed(w) if g is None else g for g, w in zip(got, rest)]
                 get = self.spaced.get
             out += got
         return b"".join(out)

@@ -196,6 +196,9 @@ def read_images(bits: Streams, i: np.ndarray, width: np.ndarray, height: np.ndar
     meta_of[metas] = np.arange(len(metas))
     with_meta = np.flatnonzero(meta_of[order] >= 0)
     mask, limit = np.uint64((1 << BITS) - 1), 8 * (len(bits.words) - 1)
+    plain_alpha = None  # where every stream has one alpha throughout, it is looked up once
+    if not len(with_meta) and (code[3] == code[3][:, :1]).all():
+        plain_alpha = (code[3][first[order], 0] & SYMBOL).astype(np.uint32) << 24
     active = np.searchsorted(-total[order], -np.arange(1, int(total.max()) + 1), side="right")
     for t, n in enumerate(active.tolist()):
         if len(with_meta):
@@ -205,21 +208,25 @@ def read_images(bits: Streams, i: np.ndarray, width: np.ndarray, height: np.ndar
             group[m] = (first[order[m]] + chosen[meta_at[k] + (t // wide[m] >> b) * across[k] + (t % wide[m] >> b)]) << BITS
         place, base = np.minimum(at[:n], limit), group[:n]
         w = bits.words[place >> 3] >> (place & 7).astype(np.uint64)
-        entry = green[base + (w & mask).astype(np.int64)]
+        entry = green[base + (w & mask).view(np.int64)]
         symbol, used = (entry & SYMBOL).astype(np.int64), entry >> ENTRY
         fresh = left[:n] == 0
         literal = fresh & (symbol < GREEN)
         w >>= used
-        r = red[base + (w & mask).astype(np.int64)]
+        r = red[base + (w & mask).view(np.int64)]
         w >>= r >> ENTRY
-        b = blue[base + (w & mask).astype(np.int64)]
-        w >>= b >> ENTRY
-        a = alpha[base + (w & mask).astype(np.int64)]
+        b = blue[base + (w & mask).view(np.int64)]
+        if plain_alpha is None:
+            w >>= b >> ENTRY
+            a = alpha[base + (w & mask).view(np.int64)]
+            far_alpha, alpha_bits = (a & SYMBOL).astype(np.uint32) << 24, a >> ENTRY
+        else:
+            far_alpha, alpha_bits = plain_alpha[:n], 0
         pixel = symbol.astype(np.uint32) << 8
-        pixel |= (a & SYMBOL).astype(np.uint32) << 24
+        pixel |= far_alpha
         pixel |= (r & SYMBOL).astype(np.uint32) << 16
         pixel |= b & SYMBOL
-        took = np.where(literal, used + (r >> ENTRY) + (b >> ENTRY) + (a >> ENTRY), 0).astype(np.int64)
+        took = np.where(literal, used + (r >> ENTRY) + (b >> ENTRY) + alpha_bits, 0).astype(np.int64)
         other = np.flatnonzero(~literal)
         if len(other):
             begun = other[fresh[other] & (symbol[other] < GREEN + LENGTHS)]

@@ -89,6 +89,20 @@ def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
+def code_arrays(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of ``canonical`` as arrays over the alphabet: value with its first bit lowest, and length."""
+    n = np.array(lengths, np.int64)
+    used = np.flatnonzero(n)
+    value, size = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    if len(used) > 1:
+        order = used[np.argsort(n[used], kind="stable")]
+        own = n[order]
+        share = 1 << (LONGEST - own)
+        code = (np.cumsum(share) - share) >> (LONGEST - own)
+        value[order], size[order] = MIRROR[code] >> (LONGEST - own), own
+    return value, size
+
+
 SHORT = 4
 
 
@@ -394,6 +408,8 @@ def code_lengths(counts: np.ndarray, longest: int = MAX_BITS) -> list[int]:
 #: The encoder's own code for code lengths: runs of zeros get 3 bits, the lengths 0 to MAX_BITS 4.
 HELPER = [4] * (MAX_BITS + 1) + [0] * (17 - MAX_BITS - 1) + [3, 3]
 HELPER_CODES = canonical(HELPER)
+#: What stands before the lengths of every code that isn't of one symbol.
+HELPER_PARTS = [(0, 1), (len(CODE_LENGTH_ORDER) - 4, 4), *[(HELPER[s], 3) for s in CODE_LENGTH_ORDER], (0, 1)]
 
 
 def code_parts(lengths: list[int]) -> list[tuple[int, int]]:
@@ -402,8 +418,7 @@ def code_parts(lengths: list[int]) -> list[tuple[int, int]]:
     if len(used) == 1 and used[0] < 256:
         small = used[0] < 2
         return [(1, 1), (0, 1), (not small, 1), (used[0], 1 if small else 8)]
-    out = [(0, 1), (len(CODE_LENGTH_ORDER) - 4, 4), *[(HELPER[s], 3) for s in CODE_LENGTH_ORDER], (0, 1)]
-    at = 0
+    out, at = HELPER_PARTS.copy(), 0
     for s in [*used, len(lengths)]:
         gap = s - at
         while gap >= 3:
@@ -430,9 +445,9 @@ def container(stream: bytes) -> bytes:
 
 # The encoder. Candidates are measured over a batch of images at once, streams are written one by one.
 
-#: Predictor modes that are tried, transforms' block (the largest, so that one block holds a whole image),
+#: Predictor modes that are tried (left, top), transforms' block (the largest, so that one block holds a whole image),
 #: shortest back-reference, smallest image with a colour cache, and largest cache in bits.
-MODES, BLOCK_BITS = (1, 2, 12), 9
+MODES, BLOCK_BITS = (1, 2), 9
 SHORTEST, CACHED_PIXELS, CACHE_BITS = 3, 64, 9
 HASH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -643,12 +658,8 @@ def stream_of(width: int, height: int, transforms: list[tuple[int, int]], pixels
     if bits:
         slot, again = cache_hits(pixels, bits)
         hits = literal & again
-        one = np.zeros(int(literal.sum()), np.int64)
-        plain = sum(entropies(one, x[literal], 1)[0] for x in (green, red, blue))
-        rest, none = literal & ~hits, np.zeros(int((literal & ~hits).sum()), np.int64)
-        symbols = np.where(hits, GREEN + LENGTHS + slot, green)[literal]
-        with_cache = entropies(one, symbols, 1, GREEN + LENGTHS + (1 << bits))[0] + sum(entropies(none, x[rest], 1)[0] for x in (red, blue))
-        if with_cache < plain:
+        # a hit saves about 5 bits, and each symbol that is used costs about 6 in the prefix code
+        if 5 * np.count_nonzero(hits) > 6 * np.count_nonzero(np.bincount(slot[hits])) + 40:
             cached, green = hits, np.where(hits, GREEN + LENGTHS + slot, green)
         else:
             bits = 0
@@ -666,14 +677,7 @@ def stream_of(width: int, height: int, transforms: list[tuple[int, int]], pixels
     if not (pixels >> 24 == alpha).all():
         raise ValueError("the encoder writes one alpha")
     lengths.insert(3, [int(k == alpha) for k in range(256)])
-    value, size = [], []
-    for n in lengths:
-        codes = canonical(n)
-        v, b = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        for s, (c, m) in codes.items():
-            v[s], b[s] = c, m
-        value.append(v)
-        size.append(b)
+    value, size = zip(*map(code_arrays, lengths))
     parts, widths = np.zeros((len(places), 4), np.int64), np.zeros((len(places), 4), np.int64)
     parts[:, 0], widths[:, 0] = value[0][symbols], size[0][symbols]
     own = np.flatnonzero(literal[starts])
