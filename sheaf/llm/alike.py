@@ -6,7 +6,7 @@ but at 0.8 a pair is expected about 10 of 64 bits apart, where no meeting keys h
 references tell nothing. So the other candidates come from an exact route, and every link, of either
 kind, is verified on the whole sets:
 
-1. prefixes: all sets are ordered alike (shingles common in a sample last, then by hash); of n shingles
+1. prefixes: all sets are ordered alike (shingles last that most of all sets hold, then by hash); of n shingles
    the first n - ceil(0.8 n) + 1 are the prefix, and the prefixes of alike sets share a shingle. A shingle
    that more than ``HOT`` prefixes hold (a passage's, or a large group's) brings no pairs together here: two
    alike sets that share such shingles alone are both among the sets that hold one, and these are ordered
@@ -29,6 +29,8 @@ columns stays; extra columns are kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sheaf.llm import simhash
-from sheaf.llm.batches import bound_batches, give_back, with_results
+from sheaf.llm.batches import bound_batches, give_back, with_many, with_results
 from sheaf.llm.simhash import SEED, chosen_rows, components, shingle_hashes
 from sheaf.plans.staging import stage
 
@@ -45,8 +47,10 @@ WORDS = 5
 ROUNDS = 12
 #: Bits of the shortest and the longest parity sketch.
 SHORT_SKETCH, LONG_SKETCH = 1 << 7, 1 << 17
-#: Texts whose shingles are counted to order the common ones last, how often makes one common, and how many.
-SAMPLE, COMMON, MOST = 60_000, 3, 200_000
+#: How many sets make a shingle common, and how many common ones are ordered last; shingles are counted by so many
+#: first bits (what they share orders them alike, no more), so many together before they are handed on.
+COMMON, MOST = 3, 200_000
+PLACE_BITS, TALLIED = 42, 1 << 19
 #: Longs of the sketch of fixed length that sets of hot buckets carry, for a bound inside the join.
 LONGS = 16
 #: Prefixes that may hold a shingle before it is hot.
@@ -95,38 +99,85 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * shared >= 4 * (len(a) + len(b) - shared)
 
 
-def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Shingles found in several texts of a sample, the rarest first; any list keeps the route exact."""
+def tallied(docs: DataFrame) -> DataFrame:
+    """place (the first ``PLACE_BITS`` bits of a shingle) and n, the sets that hold such shingles, of those that ``COMMON`` hold.
+
+    Every set of every text is counted, copies once: with each place goes a part of its set's name. Both travel
+    as arrays, one row for each range of places and some texts, and are counted range by range.
+    """
 
     def start():
-        return lambda texts: ([shingle_set(t).view(np.int64) for t in texts],)
+        seen: set[int] = set()
 
-    part = docs.select("text").distinct() if n <= SAMPLE else docs.select("text").sample(min(1.0, SAMPLE / n), SEED).distinct()
-    found = with_results(part, (), "tokens array<long>", start).select(F.explode("tokens").alias("token"))
-    counted = stage(found.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON), "alike-counted")
+        def emitted(sets: list[np.ndarray], names: list[int]) -> tuple[list[int], tuple]:
+            places = np.concatenate(sets) >> np.uint64(64 - PLACE_BITS)
+            names = np.repeat(np.array(names, np.uint16), [len(s) for s in sets])
+            order = np.argsort(places)
+            places, names = places[order], names[order]
+            ranges = (places >> np.uint64(32)).astype(np.int64)
+            first = np.concatenate(([0], np.flatnonzero(np.diff(ranges)) + 1))
+            ends = [*first[1:].tolist(), len(places)]
+            low, bounds = places.astype(np.uint32), list(zip(first.tolist(), ends))
+            return [0] * len(first), (ranges[first], [low[x:y].tobytes() for x, y in bounds], [names[x:y].tobytes() for x, y in bounds])
+
+        def work(texts: list[str | None]) -> Iterator[tuple[list[int], tuple]]:
+            sets, names, size = [], [], 0
+            for t in texts:
+                s = shingle_set(t)
+                sid = name_of(s)
+                if sid in seen or not len(s):
+                    continue
+                if len(seen) < REMEMBERED:
+                    seen.add(sid)
+                sets.append(s)
+                names.append(sid & 0xFFFF)
+                size += len(s)
+                if size > TALLIED:
+                    yield emitted(sets, names)
+                    sets, names, size = [], [], 0
+            if sets:
+                yield emitted(sets, names)
+
+        return work
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        low, names = (np.frombuffer(b"".join(group[c]), t) for c, t in (("low", np.uint32), ("names", np.uint16)))
+        held = np.unique(low.astype(np.uint64) << np.uint64(16) | names) >> np.uint64(16)
+        place, n = np.unique(held, return_counts=True)
+        often = n >= COMMON
+        return pd.DataFrame({"place": (int(group["range"].iat[0]) << 32) + place[often].astype(np.int64), "n": n[often].astype(np.int64)})
+
+    dealt = with_many(docs.select("text"), (), "range int, low binary, names binary", start)
+    return dealt.groupBy("range").applyInPandas(count, "place long, n long")
+
+
+def common_places(docs: DataFrame) -> np.ndarray:
+    """Places of the shingles that most sets hold, the rarest first; any list keeps the route exact."""
+    counted = stage(tallied(docs), "alike-counted")
     # the most frequent ones that are at most MOST together: one number for each count tells from which count on
     least, size = COMMON, 0
-    for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("tokens")).orderBy(F.col("n").desc()).collect():
-        size += r["tokens"]
+    for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("places")).orderBy(F.col("n").desc()).collect():
+        size += r["places"]
         if size > MOST:
             least = r["n"] + 1
             break
     top = counted.filter(F.col("n") >= least).toArrow()
-    token, n = (top.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("token", "n"))
-    ordered = token[np.lexsort((token, n))].view(np.uint64).copy()
-    del top, token, n
+    place, n = (top.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("place", "n"))
+    ordered = place[np.lexsort((place, n))].view(np.uint64).copy()
+    del top, place, n
     give_back()
     return ordered
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The prefix of a set. common: sorted shingles; rank: their places, from 1."""
+def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, bits: int = 64) -> np.ndarray:
+    """The prefix of a set. common: sorted first ``bits`` bits of shingles; rank: where these come, from 1."""
     n = len(shingles)
-    place = np.zeros(n, np.int64)
+    late = np.zeros(n, np.int64)
     if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        place = np.where(common[at] == shingles, rank[at], 0)
-    return shingles[np.lexsort((shingles, place))][: n - least_shared(n) + 1]
+        own = shingles >> np.uint64(64 - bits)
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        late = np.where(common[at] == own, rank[at], 0)
+    return shingles[np.lexsort((shingles, late))][: n - least_shared(n) + 1]
 
 
 def described(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -145,7 +196,7 @@ def described(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 return sid, len(s), fp, None, None
             if len(seen) < REMEMBERED:
                 seen.add(sid)
-            return sid, len(s), fp, parity(s), prefix(s, ordered, rank).view(np.int64)
+            return sid, len(s), fp, parity(s), prefix(s, ordered, rank, PLACE_BITS).view(np.int64)
 
         return lambda texts: list(zip(*[row(t) for t in texts])) or [()] * 5
 
@@ -301,7 +352,7 @@ def alike_components(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def named_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, sid) of every row, and (sid, root, component_id) of every set."""
-    rows = stage(described(docs, common_shingles(docs, docs.count())), "alike-rows")
+    rows = stage(described(docs, common_places(docs)), "alike-rows")
     single = rows.groupBy("sid").agg(F.min("doc_id").alias("least"))
     roots = alike_components(docs, rows)
     rooted = single.join(roots, single["sid"] == roots["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))

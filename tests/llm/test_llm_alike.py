@@ -1,9 +1,11 @@
 """The pipeline's near-duplicates against brute force over whole shingle sets."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from sheaf.llm import alike
 
@@ -75,3 +77,16 @@ def test_rows_without_an_id_are_of_their_groups(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], COLUMNS).repartition(3)
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (0, "Lonely text of none"), (0, "one more text"), (3, "a b c d"), (9, "other words")]
+
+
+def test_shingles_of_all_sets_are_counted_and_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(alike, "TALLIED", 500)
+    texts = [t for _, t in edited()] * 2
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    sets = {s.tobytes(): s for s in map(alike.shingle_set, texts)}.values()
+    held = Counter(x >> 64 - alike.PLACE_BITS for s in sets for x in s.tolist())
+    assert {r["place"]: r["n"] for r in alike.tallied(docs).collect()} == {x: n for x, n in held.items() if n >= alike.COMMON}
+    # of more texts than were once sampled none is left out
+    held_by_four = F.concat(F.lit("held by four of "), F.col("id") % 15_500, F.lit(" each "), F.col("id"))
+    found = alike.tallied(spark.range(62_000).select(held_by_four.alias("text"))).groupBy("n").count().collect()
+    assert [(r["n"], r["count"]) for r in found] == [(4, 2 * 15_500)]
