@@ -16,7 +16,8 @@ kind, is verified on the whole sets:
    sketch has about two bits a shingle; a longer one is folded to the length of a shorter one);
 3. leaders: in buckets of hot shingles each set is verified against ``ROUNDS`` others of its bucket, by which
    large groups of near copies become one component without all their pairs (other buckets hold at most
-   ``HOT`` sets);
+   ``HOT`` sets). A set meets leaders in the ``LEADS`` buckets of its least shingles by another hash, which
+   alike sets mostly share, not in a fifth of all its shingles; step 4 sees to all its buckets;
 4. rest: all pairs of one bucket whose components still differ are verified.
 
 What is staged is small beside the texts: names, sizes, sketches and prefixes of the sets, and the texts
@@ -45,6 +46,8 @@ from sheaf.plans.staging import stage
 
 WORDS = 5
 ROUNDS = 12
+#: Buckets of hot shingles in which one set meets leaders.
+LEADS = 8
 #: Bits of the shortest and the longest parity sketch.
 SHORT_SKETCH, LONG_SKETCH = 1 << 7, 1 << 17
 #: How many sets make a shingle common, and how many common ones are ordered last; shingles are counted by so many
@@ -317,6 +320,13 @@ def close_pairs(rows: DataFrame) -> DataFrame:
     return stage(across.unionByName(same.select("p", "q")).distinct(), "alike-close")
 
 
+def led(members: DataFrame) -> DataFrame:
+    """token, sid, n of the second order's buckets in which a set meets leaders."""
+    every = F.array_sort(F.collect_list(F.struct(F.xxhash64("token").alias("h"), "token")))
+    few = members.filter("level = 1").groupBy("sid", "n").agg(F.slice(every, 1, LEADS).alias("few"))
+    return stage(few.select(F.explode("few.token").alias("token"), "sid", "n"), "alike-led")
+
+
 def leader_pairs(members: DataFrame, k: int) -> DataFrame:
     """Each set of a bucket with the bucket's k-th leader."""
     leader = F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(k))).alias("b")
@@ -342,7 +352,7 @@ def alike_components(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) of every set that is alike to another one, through any number of others."""
     verifier = Verifier(docs, rows)
     members = members_of(rows, verifier)
-    first, hot = close_pairs(rows), members.filter("level = 1")
+    first, hot = close_pairs(rows), led(members)
     for k in range(ROUNDS):
         first = first.unionByName(leader_pairs(hot, k))
     edges = verifier.edges(first)

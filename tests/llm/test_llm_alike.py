@@ -90,3 +90,14 @@ def test_shingles_of_all_sets_are_counted_and_copies_once(spark, monkeypatch):
     held_by_four = F.concat(F.lit("held by four of "), F.col("id") % 15_500, F.lit(" each "), F.col("id"))
     found = alike.tallied(spark.range(62_000).select(held_by_four.alias("text"))).groupBy("n").count().collect()
     assert [(r["n"], r["count"]) for r in found] == [(4, 2 * 15_500)]
+
+
+def test_leaders_are_met_by_sets_not_by_shingles(spark, monkeypatch):
+    r, met = random.Random(5), []
+    base = [f"w{i}" for i in range(600)]
+    texts = [" ".join([*base[:at], f"edit{k}", *base[at + 1 :]]) for k, at in enumerate(r.sample(range(600), 80))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS).repartition(3)
+    pairs = alike.leader_pairs
+    monkeypatch.setattr(alike, "leader_pairs", lambda members, k: met.append(members) or pairs(members, k))
+    assert [x["doc_id"] for x in alike.keep_one(docs).collect()] == [0]
+    assert len(met) == alike.ROUNDS and 0 < met[0].count() <= 8 * len(texts)
