@@ -43,6 +43,19 @@ def test_chunked_ids_on_random_texts(text):
     assert np.frombuffer(bpe.encoder(PATH).encode(text), "<u4").tolist() == ids_of(text)
 
 
+def test_letters_with_signs_need_no_whole_call_and_a_full_memo_stays_at_hand(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 8)
+    chunked, whole, made = bpe.ChunkedBpe(PATH), [], []
+    library, word = chunked._library, chunked._word
+    monkeypatch.setattr(chunked, "_library", lambda text: whole.append(text) or library(text))
+    monkeypatch.setattr(chunked, "_word", lambda text, space: made.append(text) or word(text, space))
+    text = "so " + " ".join(f"the, {w}%%% {w}&&& ({w}) the." for w in "one zwei très four fünf six".split()) + "\n*** ends!?"
+    assert np.frombuffer(chunked.encode(text), "<u4").tolist() == ids_of(text)
+    assert all(t[1] == "(" for t in whole) and made.count("the") == 1
+    for odd in ("a.'s b", "don't! x'll, y", "a_b c_ d", "x² y½, z³.", "word…, “q”."):
+        assert np.frombuffer(chunked.encode(odd), "<u4").tolist() == ids_of(odd)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5000), min_size=0, max_size=80))
 def test_elias_fano_round_trip(sizes):
