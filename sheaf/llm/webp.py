@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import heapq
 import struct
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -376,6 +378,10 @@ class BitWriter:
         self.at += n
 
 
+#: Bits of a node's number in a Huffman tree.
+NODE = 16
+
+
 def code_lengths(counts: np.ndarray, longest: int = MAX_BITS) -> list[int]:
     """Huffman code lengths; flattened counts are tried until none is longer than ``longest``."""
     used = np.flatnonzero(counts)
@@ -385,14 +391,16 @@ def code_lengths(counts: np.ndarray, longest: int = MAX_BITS) -> list[int]:
         return lengths
     weights = counts[used].tolist()
     while True:
-        heap = [(w, k) for k, w in enumerate(weights)]
+        # weight and number in one integer, the weight above
+        heap = [w << NODE | k for k, w in enumerate(weights)]
         heapq.heapify(heap)
-        parent, n = [0] * (2 * len(used)), len(used)
+        parent, n, number = [0] * (2 * len(used)), len(used), (1 << NODE) - 1
         while len(heap) > 1:
-            a, x = heapq.heappop(heap)
-            b, y = heap[0]
+            a = heapq.heappop(heap)
+            b = heap[0]
+            x, y = a & number, b & number
             parent[x] = parent[y] = n
-            heapq.heapreplace(heap, (a + b, n))
+            heapq.heapreplace(heap, a - x + b - y | n)
             n += 1
         depth = [0] * n
         for k in range(n - 2, -1, -1):
@@ -412,6 +420,20 @@ HELPER_CODES = canonical(HELPER)
 HELPER_PARTS = [(0, 1), (len(CODE_LENGTH_ORDER) - 4, 4), *[(HELPER[s], 3) for s in CODE_LENGTH_ORDER], (0, 1)]
 
 
+def gap_parts(gap: int) -> list[tuple[int, int]]:
+    """The parts of so many lengths of zero."""
+    out = []
+    while gap >= 3:
+        run = min(gap, 138)
+        out.append(HELPER_CODES[18 if run >= 11 else 17])
+        out.append((run - (11 if run >= 11 else 3), 7 if run >= 11 else 3))
+        gap -= run
+    return out + [HELPER_CODES[0]] * gap
+
+
+GAPS = [gap_parts(n) for n in range(GREEN + LENGTHS)]
+
+
 def code_parts(lengths: list[int]) -> list[tuple[int, int]]:
     """A prefix code as (value, bits) parts: the simple form for one symbol, else lengths with runs of zeros."""
     used = [s for s, n in enumerate(lengths) if n]
@@ -420,13 +442,8 @@ def code_parts(lengths: list[int]) -> list[tuple[int, int]]:
         return [(1, 1), (0, 1), (not small, 1), (used[0], 1 if small else 8)]
     out, at = HELPER_PARTS.copy(), 0
     for s in [*used, len(lengths)]:
-        gap = s - at
-        while gap >= 3:
-            run = min(gap, 138)
-            out.append(HELPER_CODES[18 if run >= 11 else 17])
-            out.append((run - (11 if run >= 11 else 3), 7 if run >= 11 else 3))
-            gap -= run
-        out += [HELPER_CODES[0]] * gap
+        if s > at:
+            out += GAPS[s - at] if s - at < len(GAPS) else gap_parts(s - at)
         if s < len(lengths):
             out.append(HELPER_CODES[lengths[s]])
         at = s + 1
@@ -646,6 +663,12 @@ def packed(values: np.ndarray, bits: np.ndarray) -> bytes:
     return words.astype("<u4").tobytes()[: (int(ends[-1]) + 7) // 8]
 
 
+@lru_cache(maxsize=256)
+def alpha_parts(alpha: int) -> list[tuple[int, int]]:
+    """The prefix code of one alpha throughout."""
+    return code_parts([int(k == alpha) for k in range(256)])
+
+
 def stream_of(width: int, height: int, transforms: list[tuple[int, int]], pixels: np.ndarray, across: int) -> bytes:
     """A VP8L stream of already transformed pixels, ``across`` to a row."""
     copies = references(pixels)
@@ -676,7 +699,6 @@ def stream_of(width: int, height: int, transforms: list[tuple[int, int]], pixels
     alpha = int(pixels[0] >> 24)
     if not (pixels >> 24 == alpha).all():
         raise ValueError("the encoder writes one alpha")
-    lengths.insert(3, [int(k == alpha) for k in range(256)])
     value, size = zip(*map(code_arrays, lengths))
     parts, widths = np.zeros((len(places), 4), np.int64), np.zeros((len(places), 4), np.int64)
     parts[:, 0], widths[:, 0] = value[0][symbols], size[0][symbols]
@@ -688,16 +710,18 @@ def stream_of(width: int, height: int, transforms: list[tuple[int, int]], pixels
         k = slice(len(starts), None)
         parts[k, 1], widths[k, 1] = [x for _, x, _ in whole], [n for _, _, n in whole]
         symbol = np.array([s for s, _, _ in far])
-        parts[k, 2], widths[k, 2] = value[4][symbol], size[4][symbol]
+        parts[k, 2], widths[k, 2] = value[3][symbol], size[3][symbol]
         parts[k, 3], widths[k, 3] = [x for _, x, _ in far], [n for _, _, n in far]
     order = np.argsort(places, kind="stable")
     head = [(SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 4), *transforms, (0, 1)]
     head += [(1, 1), (bits, 4)] if bits else [(0, 1)]
     head.append((0, 1))
-    for n in lengths:
+    for n in lengths[:3]:
         head += code_parts(n)
-    front = np.array(head, np.int64)
-    return packed(np.concatenate([front[:, 0], parts[order].ravel()]), np.concatenate([front[:, 1], widths[order].ravel()]))
+    head += alpha_parts(alpha)
+    head += code_parts(lengths[3])
+    front = np.array(list(chain.from_iterable(head)), np.int64)
+    return packed(np.concatenate([front[::2], parts[order].ravel()]), np.concatenate([front[1::2], widths[order].ravel()]))
 
 
 def encode_many(samples: list[np.ndarray], width: int) -> list[bytes]:

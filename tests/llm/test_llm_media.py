@@ -112,3 +112,29 @@ def test_broken_streams_are_refused():
     for cut in (webp.decode, lambda s: next(lockstep.decode_each([s]))):
         with pytest.raises(ValueError):
             cut(stream[: len(stream) // 2])
+
+
+def test_runs_of_zeros_and_code_lengths_equal_plain_ones():
+    r = np.random.default_rng(3)
+    for n in range(400):
+        out = webp.BitWriter()
+        for part in webp.gap_parts(n):
+            out.write(*part)
+        bits, got = webp.Bits((out.value | 0).to_bytes(out.at // 8 + 8, "little")), 0
+        code = webp.PrefixCode(webp.HELPER)
+        while bits.at < out.at:
+            symbol = code.read(bits)
+            got += 1 if symbol == 0 else bits.read(3) + 3 if symbol == 17 else bits.read(7) + 11
+        assert got == n
+    for size in (2, 3, 40, 280, 2328):
+        counts = r.integers(0, 9, size) ** 2
+        counts[:2] = 1
+        used = np.flatnonzero(counts).tolist()
+        heap = sorted((int(counts[s]), [s]) for s in used)
+        total = 0
+        while len(heap) > 1:
+            (a, x), (b, y), *heap = heap
+            total += a + b
+            heap = sorted([*heap, (a + b, x + y)], key=lambda p: p[0])
+        lengths = np.array(webp.code_lengths(counts, 30))
+        assert (lengths[used] > 0).all() and int(lengths @ counts) == total and sum(2.0 ** -lengths[used]) == 1
