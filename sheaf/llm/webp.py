@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from collections.abc import Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -91,20 +92,6 @@ def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
-def code_arrays(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of ``canonical`` as arrays over the alphabet: value with its first bit lowest, and length."""
-    n = np.array(lengths, np.int64)
-    used = np.flatnonzero(n)
-    value, size = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-    if len(used) > 1:
-        order = used[np.argsort(n[used], kind="stable")]
-        own = n[order]
-        share = 1 << (LONGEST - own)
-        code = (np.cumsum(share) - share) >> (LONGEST - own)
-        value[order], size[order] = MIRROR[code] >> (LONGEST - own), own
-    return value, size
-
-
 SHORT = 4
 
 
@@ -460,12 +447,13 @@ def container(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-# The encoder. Candidates are measured over a batch of images at once, streams are written one by one.
+# The encoder. Candidates are measured and streams are written over a batch of images at once.
 
 #: Predictor modes that are tried (left, top), transforms' block (the largest, so that one block holds a whole image),
-#: shortest back-reference, smallest image with a colour cache, and largest cache in bits.
+#: shortest and longest back-reference, smallest image with a colour cache, largest cache in bits, and pixels that
+#: are written together, about.
 MODES, BLOCK_BITS = (1, 2), 9
-SHORTEST, CACHED_PIXELS, CACHE_BITS = 3, 64, 9
+SHORTEST, LONGEST_COPY, CACHED_PIXELS, CACHE_BITS, TOGETHER = 3, 4096, 64, 9, 1 << 17
 HASH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -473,10 +461,9 @@ def entropies(image: np.ndarray, symbols: np.ndarray, images: int, alphabet: int
     """Bits that each image's symbols need under a code of their own, the code's own bits included."""
     counts = np.bincount(image * alphabet + symbols, minlength=images * alphabet).reshape(images, alphabet)
     total = counts.sum(axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        each = np.where(counts > 0, counts * np.log2(counts), 0.0).sum(axis=1)
-        body = np.where(total > 0, total * np.log2(np.maximum(total, 1)) - each, 0.0)
-    return body + 6.0 * (counts > 0).sum(axis=1)
+    level = np.arange(int(total.max(initial=0)) + 1)
+    share = level * np.log2(np.maximum(level, 1))
+    return share[total] - share[counts].sum(axis=1) + 6.0 * (counts > 0).sum(axis=1)
 
 
 class Batch:
@@ -493,13 +480,12 @@ class Batch:
         return sum(entropies(self.of, rgb[:, c].astype(np.int64), len(self.pixels)) for c in range(3))
 
     def predicted(self, mode: int) -> np.ndarray:
-        at, w = np.arange(len(self.of)), self.width
-        near = [self.rgb[np.maximum(at - d, 0)].astype(np.int16) for d in (1, w, w - 1, w + 1)]
-        guess = predict(mode, *near).astype(np.uint8)
-        first_row, first_column = self.place < w, self.place % w == 0
-        guess[first_row] = near[0][first_row]
-        guess[first_column] = near[1][first_column]
-        guess[self.place == 0] = 0
+        """What is left of the pixels by mode 1 (left) or 2 (top); the first row goes by the left, the first column by the top."""
+        back = np.full(len(self.of), {1: 1, 2: self.width}[mode])
+        back[self.place < self.width] = 1
+        back[self.place % self.width == 0] = self.width
+        guess = self.rgb[np.maximum(np.arange(len(back)) - back, 0)]
+        guess[self.begin] = 0
         return self.rgb - guess
 
     def factors(self) -> np.ndarray:
@@ -594,142 +580,325 @@ def bundled(palette: np.ndarray, index: np.ndarray, width: int) -> tuple[list[tu
     return head, (0xFF000000 | green.ravel() << 8).astype(np.uint32), across
 
 
-def references(pixels: np.ndarray) -> list[tuple[int, int, int]]:
-    """(place, pixels, distance) of back-references, the nearest earlier three equal pixels beginning each."""
+def equal_run(pixels: np.ndarray, at: int, distance: int, stop: int) -> int:
+    """How many pixels from ``at`` on, before ``stop``, equal those ``distance`` before them."""
+    size, step = 0, 16
+    while at + size < stop:
+        a, z = at + size, min(at + size + step, stop)
+        unequal = np.flatnonzero(pixels[a:z] != pixels[a - distance : z - distance])
+        if len(unequal):
+            return size + int(unequal[0])
+        size, step = z - at, 4 * step
+    return size
+
+
+def earlier(key: np.ndarray) -> np.ndarray:
+    """Each place's nearest earlier place with the same key, or -1; only bits above those of a place's number are compared."""
+    low = np.uint64((1 << len(key).bit_length()) - 1)
+    whole = np.sort((key & ~low) | np.arange(len(key), dtype=np.uint64))
+    place = (whole & low).astype(np.int64)
+    same = np.flatnonzero((whole[1:] ^ whole[:-1]) <= low)
+    out = np.full(len(key), -1)
+    out[place[same + 1]] = place[same]
+    return out
+
+
+def references(pixels: np.ndarray, of: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(place, pixels, distance) of back-references in images one after the other.
+
+    The nearest earlier three equal pixels of its image begin each. Places that follow each other at one distance
+    are one run, which is looked at once.
+    """
     if len(pixels) <= SHORTEST:
-        return []
+        return np.zeros((0, 3), np.int64)
     wide = pixels.astype(np.uint64)
-    key = wide[:-2] * HASH[0] ^ wide[1:-1] * HASH[1] ^ wide[2:] * HASH[2]
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    before = np.full(len(key), -1)
-    before[order[same + 1]] = order[same]
-    out, at, n = [], 0, len(pixels)
-    for c in np.flatnonzero(before >= 0).tolist():
-        if c < at:
-            continue
-        p, size, step = int(before[c]), 0, 16
-        while True:
-            m = min(step, n - c - size, 4096 - size)
-            unequal = np.flatnonzero(pixels[p + size : p + size + m] != pixels[c + size : c + size + m])
-            if len(unequal) or not m:
-                size += int(unequal[0]) if len(unequal) else 0
-                break
-            size, step = size + m, 4 * step
-        if size >= SHORTEST:
-            out.append((c, size, c - p))
-            at = c + size
+    before = earlier(wide[:-2] * HASH[0] ^ wide[1:-1] * HASH[1] ^ wide[2:] * HASH[2])
+    c = np.flatnonzero(before >= 0)
+    c = c[(before[c] >= begin[of[c]]) & (c + 2 < end[of[c]])]
+    p = before[c]
+    c = c[(pixels[c] == pixels[p]) & (pixels[c + 1] == pixels[p + 1]) & (pixels[c + 2] == pixels[p + 2])]
+    if not len(c):
+        return np.zeros((0, 3), np.int64)
+    distance = c - before[c]
+    edge = np.flatnonzero((np.diff(c) != 1) | (np.diff(distance) != 0))
+    first, stop = c[np.append(0, edge + 1)], c[np.append(edge, len(c) - 1)] + 1
+    far, last = distance[np.append(0, edge + 1)], end[of[first]]
+    after = np.minimum(stop + 2, len(pixels) - 1)
+    more = (stop + 2 < last) & (pixels[after] == pixels[after - far])
+    out, at = [], 0
+    for a, z, d, goes_on, bound in zip(first.tolist(), stop.tolist(), far.tolist(), more.tolist(), last.tolist()):
+        while at < z:
+            at = max(at, a)
+            size = z + 2 - at
+            if goes_on and size < LONGEST_COPY:
+                size += equal_run(pixels, z + 2, d, min(bound, at + LONGEST_COPY))
+            size = min(size, LONGEST_COPY)
+            out.append((at, size, d))
+            at += size
+    return np.array(out, np.int64)
+
+
+def lengths_of_bits(values: np.ndarray) -> np.ndarray:
+    """``bit_length`` of every number."""
+    return np.frexp(values.astype(np.float64))[1].astype(np.int64)
+
+
+def amounts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths or distances as their prefix symbols, extra bits and how many those are."""
+    v = values - 1
+    top = np.maximum(lengths_of_bits(v) - 1, 0)
+    extra = np.where(v < 4, 0, top - 1)
+    return np.where(v < 4, v, 2 * top + (v >> extra & 1)), v & ((1 << extra) - 1), extra
+
+
+@lru_cache(maxsize=64)
+def short_codes(width: int) -> np.ndarray:
+    """The short code of each small distance in rows of ``width`` pixels, or 0."""
+    out = np.zeros(8 * width + 9, np.int64)
+    for k, (dx, dy) in reversed(list(enumerate(near_offsets()))):
+        out[max(1, dx + dy * width)] = k + 1
     return out
 
 
-def cache_hits(pixels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each pixel's place in the colour cache, and whether the cache holds it there when its turn comes."""
-    slot = ((pixels * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - bits)).astype(np.int64)
-    order = np.argsort(slot, kind="stable")
-    again = np.zeros(len(pixels), bool)
-    again[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
-    return slot, again
-
-
-def amount(value: int) -> tuple[int, int, int]:
-    """A length or distance as its prefix symbol, extra bits and how many those are."""
-    if value <= 4:
-        return value - 1, 0, 0
-    top = (value - 1).bit_length() - 1
-    return 2 * top + ((value - 1) >> (top - 1) & 1), (value - 1) & ((1 << (top - 1)) - 1), top - 1
-
-
-_SHORT: dict[int, dict[int, int]] = {}
-
-
-def distance_code(distance: int, width: int) -> int:
-    """The short code of a distance where one has it, else the distance behind those codes."""
-    if width not in _SHORT:
-        found: dict[int, int] = {}
-        for k, (dx, dy) in enumerate(near_offsets()):
-            found.setdefault(max(1, dx + dy * width), k + 1)
-        _SHORT[width] = found
-    return _SHORT[width].get(distance, distance + 120)
-
-
-def packed(values: np.ndarray, bits: np.ndarray) -> bytes:
-    """Values of up to 32 bits one after the other, least significant bits first."""
-    ends = np.cumsum(bits)
-    at = ends - bits
-    shifted = values.astype(np.uint64) << (at & 31).astype(np.uint64)
-    size = int(ends[-1]) // 32 + 2
-    words = np.bincount(at >> 5, (shifted & 0xFFFFFFFF).astype(np.float64), size)
-    words += np.bincount((at >> 5) + 1, (shifted >> 32).astype(np.float64), size)
-    return words.astype("<u4").tobytes()[: (int(ends[-1]) + 7) // 8]
-
-
-@lru_cache(maxsize=256)
-def alpha_parts(alpha: int) -> list[tuple[int, int]]:
-    """The prefix code of one alpha throughout."""
-    return code_parts([int(k == alpha) for k in range(256)])
-
-
-def stream_of(width: int, height: int, transforms: list[tuple[int, int]], pixels: np.ndarray, across: int) -> bytes:
-    """A VP8L stream of already transformed pixels, ``across`` to a row."""
-    copies = references(pixels)
-    literal = np.ones(len(pixels), bool)
-    for at, size, _ in copies:
-        literal[at : at + size] = False
-    green, red, blue = (pixels >> 8 & 255).astype(np.int64), (pixels >> 16 & 255).astype(np.int64), (pixels & 255).astype(np.int64)
-    bits = min(CACHE_BITS, len(pixels).bit_length() - 2) if len(pixels) >= CACHED_PIXELS else 0
-    cached = np.zeros(len(pixels), bool)
-    if bits:
-        slot, again = cache_hits(pixels, bits)
-        hits = literal & again
-        # a hit saves about 5 bits, and each symbol that is used costs about 6 in the prefix code
-        if 5 * np.count_nonzero(hits) > 6 * np.count_nonzero(np.bincount(slot[hits])) + 40:
-            cached, green = hits, np.where(hits, GREEN + LENGTHS + slot, green)
-        else:
-            bits = 0
-    literal &= ~cached
-    # one row for each token: up to four parts of value and bits
-    starts = np.flatnonzero(literal | cached)
-    places = np.concatenate([starts, np.array([c for c, _, _ in copies], np.int64)])
-    whole = [amount(size) for _, size, _ in copies]
-    far = [amount(distance_code(d, across)) for _, _, d in copies]
-    symbols = np.concatenate([green[starts], np.array([GREEN + s for s, _, _ in whole], np.int64)])
-    sizes = (GREEN + LENGTHS + (1 << bits if bits else 0), 256, 256, DISTANCES)
-    used = (symbols, red[literal], blue[literal], np.array([s for s, _, _ in far], np.int64))
-    lengths = [code_lengths(np.bincount(u if len(u) else [0], minlength=n)) for u, n in zip(used, sizes)]
-    alpha = int(pixels[0] >> 24)
-    if not (pixels >> 24 == alpha).all():
+def distance_codes(distance: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The short codes of distances that have one, else the distances behind those codes."""
+    out = distance + 120
+    for w in np.unique(width).tolist():
+        table = short_codes(w)
+        k = np.flatnonzero((width == w) & (distance < len(table)))
+        short = table[distance[k]]
+        out[k[short > 0]] = short[short > 0]
+    return out
+
+
+def many_lengths(row: np.ndarray, counts: np.ndarray, rows: int, longest: int = MAX_BITS) -> np.ndarray:
+    """``code_lengths`` of many codes at once: ``row`` (ascending) tells whose symbol each count is.
+
+    Leaves by weight and inner nodes, which come about by weight, are two queues; one step joins two nodes of
+    every code that isn't done.
+    """
+    size = np.bincount(row, minlength=rows)
+    begin = np.cumsum(size) - size
+    out, weights = np.ones(len(row), np.int64), counts.astype(np.int64)
+    todo = np.flatnonzero(size > 1)
+    while len(todo):
+        todo = todo[np.argsort(-size[todo], kind="stable")]
+        m = size[todo]
+        of = np.repeat(np.arange(len(m)), m)
+        within = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
+        source = begin[todo][of] + within
+        # equal weights stay in the order of their symbols
+        key = np.sort(of << 44 | weights[source] << 10 | within)
+        leaf = np.cumsum(m + 1) - m - 1
+        inner = np.cumsum(m) - m + int(leaf[-1] + m[-1] + 1)
+        weight = np.full(int(inner[-1] + m[-1]), np.iinfo(np.int64).max // 4)
+        place = leaf[of] + within
+        weight[place] = key >> 10 & (1 << 34) - 1
+        parent, depth = np.zeros(len(weight), np.int64), np.zeros(len(weight), np.int64)
+        steps = np.arange(int(m[0]) - 1)
+        active = np.searchsorted(1 - m, -steps, side="left").tolist()
+        next_leaf, next_inner = leaf.copy(), inner.copy()
+        for t, n in enumerate(active):
+            a, b, total = next_leaf[:n], next_inner[:n], 0
+            for _ in range(2):
+                x, y = weight[a], weight[b]
+                is_leaf = x <= y
+                parent[np.where(is_leaf, a, b)] = t
+                total = total + np.minimum(x, y)
+                a += is_leaf
+                b += ~is_leaf
+            weight[inner[:n] + t] = total
+        for t, n in enumerate(active[1:], 1):
+            node = inner[:n] + m[:n] - 2 - t
+            depth[node] = depth[inner[:n] + parent[node]] + 1
+        found = depth[inner[of] + parent[place]] + 1
+        out[begin[todo][of] + (key & 1023)] = found
+        over = np.maximum.reduceat(found, np.cumsum(m) - m) > longest
+        for r in todo[over].tolist():  # flattened counts, as in ``code_lengths``
+            own = weights[begin[r] : begin[r] + size[r]]
+            weights[begin[r] : begin[r] + size[r]] = (own + 1) // 2 + int(own.sum()) // (1 << longest)
+        todo = todo[over]
+    return out
+
+
+def many_codes(row: np.ndarray, length: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of ``canonical`` for many codes' symbols: value with its first bit lowest, and length."""
+    count = np.bincount(row, minlength=rows)
+    begin = np.cumsum(count) - count
+    key = np.sort(row << 16 | length << 10 | np.arange(len(row)) - begin[row])
+    place, own = begin[row] + (key & 1023), key >> 10 & 63
+    share = 1 << (LONGEST - own)
+    code = np.cumsum(share) - share
+    code = (code - code[begin][row]) >> (LONGEST - own)
+    value, size = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
+    value[place], size[place] = MIRROR[code] >> (LONGEST - own), own
+    single = count[row] == 1
+    value[single] = size[single] = 0
+    return value, size
+
+
+def joined(parts: list[tuple[int, int]]) -> tuple[int, int]:
+    """Parts of a stream as one."""
+    out = BitWriter()
+    for part in parts:
+        out.write(*part)
+    return out.value, out.at
+
+
+#: Symbols of the codes for green, red, blue, alpha and distances at most, and where each begins in an image's table of codes.
+ALPHABETS = np.array([GREEN + LENGTHS + (1 << CACHE_BITS), 256, 256, 256, DISTANCES])
+TABLE_AT = np.cumsum(ALPHABETS) - ALPHABETS
+#: The gaps of ``gap_parts``, each joined into one part, what stands before any code's lengths, and their codes.
+GAP_VALUES, GAP_BITS = (np.array(x, np.uint64) for x in zip(*[joined(gap_parts(n)) for n in range(ALPHABETS[0] + 1)]))
+HELPER_VALUE, HELPER_SIZE = joined(HELPER_PARTS)
+LENGTH_VALUES = np.array([HELPER_CODES[n][0] for n in range(MAX_BITS + 1)], np.uint64)
+LENGTH_BITS = HELPER_CODES[0][1]
+
+
+def many_code_parts(
+    row: np.ndarray, symbol: np.ndarray, length: np.ndarray, alphabet: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``code_parts`` of many codes: values, bits, and how many parts each code has."""
+    count = np.bincount(row, minlength=len(alphabet))
+    begin = np.cumsum(count) - count
+    head = begin + 2 * np.arange(len(count))
+    place = np.arange(len(row)) + 2 * row + 1
+    value, bits = np.zeros(len(row) + 2 * len(count), np.uint64), np.zeros(len(row) + 2 * len(count), np.int64)
+    value[head], bits[head] = HELPER_VALUE, HELPER_SIZE
+    gap = symbol - 1 - np.append(-1, symbol[:-1])
+    gap[begin] = symbol[begin]
+    value[place] = GAP_VALUES[gap] | LENGTH_VALUES[length] << GAP_BITS[gap]
+    bits[place] = GAP_BITS[gap].astype(np.int64) + LENGTH_BITS
+    rest, last = alphabet - 1 - symbol[begin + count - 1], head + count + 1
+    value[last], bits[last] = GAP_VALUES[rest], GAP_BITS[rest]
+    # the simple form for one symbol
+    simple = np.flatnonzero((count == 1) & (symbol[begin] < 256))
+    only, at = symbol[begin[simple]], head[simple]
+    value[at], bits[at] = np.where(only < 2, 1 | only << 3, 5 | only << 3).astype(np.uint64), np.where(only < 2, 4, 11)
+    bits[at + 1] = bits[at + 2] = 0
+    value[at + 1] = value[at + 2] = 0
+    return value, bits, count + 2
+
+
+def put(words: np.ndarray, at: np.ndarray, value: np.ndarray, bits: np.ndarray) -> None:
+    """Values of up to 64 bits into 64-bit words from the given bit positions on, which ascend."""
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    words[word[first]] |= np.bitwise_or.reduceat(value << shift, first)
+    over = np.flatnonzero((at & 63) + bits > 64)
+    words[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
+
+
+def streams_of(
+    width: int, heights: np.ndarray, transforms: Sequence[list[tuple[int, int]]], images: Sequence[np.ndarray], across: np.ndarray
+) -> list[bytes]:
+    """VP8L streams of already transformed images, ``across`` pixels to a row each."""
+    n, count = len(images), np.array([len(p) for p in images], np.int64)
+    end, pixels = np.cumsum(count), np.concatenate(images)
+    begin, of = end - count, np.repeat(np.arange(n), count)
+    alpha = pixels[begin] >> 24
+    if (pixels >> 24 != alpha[of]).any():
         raise ValueError("the encoder writes one alpha")
-    value, size = zip(*map(code_arrays, lengths))
-    parts, widths = np.zeros((len(places), 4), np.int64), np.zeros((len(places), 4), np.int64)
-    parts[:, 0], widths[:, 0] = value[0][symbols], size[0][symbols]
-    own = np.flatnonzero(literal[starts])
-    at = starts[own]
-    parts[own, 1], widths[own, 1] = value[1][red[at]], size[1][red[at]]
-    parts[own, 2], widths[own, 2] = value[2][blue[at]], size[2][blue[at]]
-    if copies:
-        k = slice(len(starts), None)
-        parts[k, 1], widths[k, 1] = [x for _, x, _ in whole], [n for _, _, n in whole]
-        symbol = np.array([s for s, _, _ in far])
-        parts[k, 2], widths[k, 2] = value[3][symbol], size[3][symbol]
-        parts[k, 3], widths[k, 3] = [x for _, x, _ in far], [n for _, _, n in far]
-    order = np.argsort(places, kind="stable")
-    head = [(SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 4), *transforms, (0, 1)]
-    head += [(1, 1), (bits, 4)] if bits else [(0, 1)]
-    head.append((0, 1))
-    for n in lengths[:3]:
-        head += code_parts(n)
-    head += alpha_parts(alpha)
-    head += code_parts(lengths[3])
-    front = np.array(list(chain.from_iterable(head)), np.int64)
-    return packed(np.concatenate([front[::2], parts[order].ravel()]), np.concatenate([front[1::2], widths[order].ravel()]))
+    copies, sizes, far = references(pixels, of, begin, end).T
+    covered = np.zeros(len(pixels) + 1, np.int8)
+    covered[copies] += 1
+    covered[copies + sizes] -= 1
+    literal = np.cumsum(covered[:-1], dtype=np.int8) == 0
+    # the colour cache: the pixel before in each pixel's place, where that is the same one
+    bits = np.where(count >= CACHED_PIXELS, np.minimum(CACHE_BITS, lengths_of_bits(count) - 2), 0)
+    slot = (pixels * np.uint32(CACHE_MULTIPLIER)) >> (32 - np.maximum(bits, 1)).astype(np.uint32)[of]
+    named = of << CACHE_BITS | slot
+    before = earlier(named.astype(np.uint64) << np.uint64(len(pixels).bit_length()))
+    hits = literal & (before >= 0) & (pixels[before] == pixels) & (bits > 0)[of]
+    used = (np.bincount(named[hits], minlength=n << CACHE_BITS) > 0).reshape(n, -1).sum(axis=1)
+    # a hit saves about 5 bits, and each symbol that is used costs about 6 in the prefix code
+    pays = 5 * np.bincount(of[hits], minlength=n) > 6 * used + 40
+    cached, bits = hits & pays[of], np.where(pays, bits, 0)
+    # tokens: a literal, a place in the cache or a copy
+    token = literal.copy()
+    token[copies] = True
+    places = np.flatnonzero(token)
+    image, p = of[places], pixels[places]
+    green = (p >> 8 & 255).astype(np.int64)
+    from_cache = cached[places]
+    green[from_cache] = GREEN + LENGTHS + slot[places[from_cache]]
+    copy = np.flatnonzero(~literal[places])
+    length, length_rest, length_bits = amounts(sizes)
+    distance, distance_rest, distance_bits = amounts(distance_codes(far, across[of[copies]]))
+    green[copy] = GREEN + length
+    plain = np.flatnonzero(literal[places] & ~from_cache)
+    red, blue = (p[plain] >> 16 & 255).astype(np.int64), (p[plain] & 255).astype(np.int64)
+    # the symbols of the five codes of each image, with their counts
+    rows, symbols, counts = [], [], []
+    streams = ((image, green), (image[plain], red), (image[plain], blue), (np.arange(n), alpha.astype(np.int64)), (image[copy], distance))
+    for k, (owner, symbol) in enumerate(streams):
+        size = int(ALPHABETS[k])
+        table = np.bincount(owner * size + symbol, minlength=n * size).reshape(n, size)
+        table[~table.any(axis=1), 0] = 1
+        row, symbol = np.nonzero(table)
+        rows.append(5 * row + k)
+        symbols.append(symbol)
+        counts.append(table[row, symbol])
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    row, symbol, weight = row[order], np.concatenate(symbols)[order], np.concatenate(counts)[order]
+    lengths = many_lengths(row, weight, 5 * n)
+    value, size = many_codes(row, lengths, 5 * n)
+    # value and length of every symbol's code, image by image
+    table = np.zeros(n * int(ALPHABETS.sum()), np.int64)
+    table[row // 5 * int(ALPHABETS.sum()) + TABLE_AT[row % 5] + symbol] = value << 8 | size
+    base = image * int(ALPHABETS.sum())
+    codes = np.zeros((len(places), 3), np.int64)
+    codes[:, 0] = table[base + green]
+    codes[plain, 1] = table[base[plain] + TABLE_AT[1] + red]
+    codes[plain, 2] = table[base[plain] + TABLE_AT[2] + blue]
+    codes[copy, 1] = length_rest << 8 | length_bits
+    codes[copy, 2] = table[base[copy] + TABLE_AT[4] + distance]
+    shift, codes = codes & 255, codes >> 8
+    token_bits = shift.sum(axis=1)
+    token_value = codes[:, 0] | codes[:, 1] << shift[:, 0] | codes[:, 2] << shift[:, 0] + shift[:, 1]
+    token_value[copy] |= distance_rest << token_bits[copy]
+    token_bits[copy] += distance_bits
+    # the front of each stream, with the parts of its transforms
+    fronts = [
+        [(SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 4), *parts, (0, 1), *([(1, 1), (b, 4)] if b else [(0, 1)]), (0, 1)]
+        if parts
+        else [(SIGNATURE | (width - 1) << 8 | (height - 1) << 22, 40), ((1 | b << 1) << 1 if b else 0, 7 if b else 3)]
+        for height, parts, b in zip(heights.tolist(), transforms, bits.tolist())
+    ]
+    front = np.array(list(chain.from_iterable(chain.from_iterable(fronts))), np.int64)
+    alphabet = np.tile(ALPHABETS, (n, 1))
+    alphabet[:, 0] = GREEN + LENGTHS + np.where(bits > 0, 1 << bits, 0)
+    code_value, code_bits, code_count = many_code_parts(row, symbol, lengths, alphabet.ravel())
+    phases = (
+        (front[::2].astype(np.uint64), front[1::2], np.array([len(f) for f in fronts])),
+        (code_value, code_bits, code_count.reshape(n, 5).sum(axis=1)),
+        (token_value.astype(np.uint64), token_bits, np.bincount(image, minlength=n)),
+    )
+    ends = [np.cumsum(b) for _, b, _ in phases]
+    size = np.stack([np.diff(z[np.cumsum(c) - 1], prepend=0) for z, (_, _, c) in zip(ends, phases)])
+    whole = size.sum(axis=0)
+    room = (whole + 63) >> 6
+    start = 64 * (np.cumsum(room) - room)
+    words = np.zeros(int(room.sum()) + 2, np.uint64)
+    for (v, b, c), z, own in zip(phases, ends, size):
+        put(words, z - b + np.repeat(start - (z[np.cumsum(c) - 1] - own), c), v, b)
+        start = start + own
+    raw = words.astype("<u8", copy=False).tobytes()
+    first = 8 * (np.cumsum(room) - room)
+    return [raw[a:z] for a, z in zip(first.tolist(), (first + ((whole + 7) >> 3)).tolist())]
 
 
 def encode_many(samples: list[np.ndarray], width: int) -> list[bytes]:
     """WebP files of 8-bit samples, three to a pixel (red, green, blue), ``width`` pixels to a row."""
-    if not samples:
-        return []
     for s in samples:
         if not len(s) or len(s) % (3 * width) or not len(s) <= 3 * width * (1 << BLOCK_BITS) or width > 1 << BLOCK_BITS:
             raise ValueError("the samples don't fill the rows of one image of the encoder")
-    made = transformed(Batch(samples, width))
-    return [container(stream_of(width, len(s) // (3 * width), *m)) for s, m in zip(samples, made)]
+    out: list[bytes] = []
+    bounds = np.cumsum([max(len(s) // 3, CACHED_PIXELS) for s in samples]) // TOGETHER
+    for part in np.split(np.arange(len(samples)), np.flatnonzero(np.diff(bounds)) + 1) if samples else []:
+        some = samples[part[0] : part[-1] + 1]
+        transforms, images, across = zip(*transformed(Batch(some, width)))
+        heights = np.array([len(s) // (3 * width) for s in some])
+        out += [container(s) for s in streams_of(width, heights, transforms, images, np.array(across))]
+    return out

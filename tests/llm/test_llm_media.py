@@ -1,6 +1,7 @@
 """What op7 puts out, against plain versions, and both decoders against each other."""
 
 import hashlib
+import sys
 import zlib
 
 import numpy as np
@@ -138,3 +139,62 @@ def test_runs_of_zeros_and_code_lengths_equal_plain_ones():
             heap = sorted([*heap, (a + b, x + y)], key=lambda p: p[0])
         lengths = np.array(webp.code_lengths(counts, 30))
         assert (lengths[used] > 0).all() and int(lengths @ counts) == total and sum(2.0 ** -lengths[used]) == 1
+
+
+def prose(n, words, seed=7):
+    r = np.random.default_rng(seed)
+    known = ["".join(map(chr, r.integers(97, 123, size))) for size in r.integers(2, 9, 300)]
+    texts = [" ".join(known[k] for k in r.integers(0, len(known), words)) for _ in range(n)]
+    return [np.frombuffer(media.payload(t)[0], np.uint8) for t in texts]
+
+
+def test_work_of_an_image_is_shared_by_its_batch():
+    """Python calls don't grow by hundreds for each image: at 2 KB a text they took most of the CPU budget."""
+
+    def calls_of(samples):
+        calls = 0
+
+        def seen(frame, event, what):
+            nonlocal calls
+            calls += event in ("call", "c_call")
+
+        sys.setprofile(seen)
+        try:
+            webp.encode_many(samples, 64)
+        finally:
+            sys.setprofile(None)
+        return calls
+
+    samples = prose(240, 250)
+    calls_of(samples[:2])
+    assert calls_of(samples) - calls_of(samples[:40]) < 100 * 200
+
+
+def test_images_are_stored_alike_alone_and_together():
+    samples = [s.astype(np.uint8).ravel() for s in pictures().values()] + prose(30, 60) + prose(5, 900)
+    samples += [np.zeros(192, np.uint8), np.frombuffer(b"ab" * 96 * 500, np.uint8)]
+    files = webp.encode_many(samples, 64)
+    assert files == [webp.encode_many([s], 64)[0] for s in samples]
+    for raw, file in zip(samples, files):
+        assert (media.samples_of(webp.decode(webp.chunk_of(file)[0])) == raw).all()
+
+
+def test_codes_of_a_batch_equal_those_made_one_by_one():
+    r = np.random.default_rng(11)
+    every = [np.array([0, 0, 5]), np.array([0, 3]), np.array([1, 1]), np.append(np.zeros(300, int), 4)]
+    every += [np.append((1.7 ** np.arange(n)).astype(int), r.integers(0, 3, 40)) for n in (2, 12, 20, 25)]
+    every += [np.append(r.integers(0, 9, n) ** 3, 1) for n in (3, 40, 280, 791)]
+    row = np.concatenate([np.full(np.count_nonzero(c), k) for k, c in enumerate(every)])
+    symbol, counts = np.concatenate([np.flatnonzero(c) for c in every]), np.concatenate([c[c > 0] for c in every])
+    lengths = webp.many_lengths(row, counts, len(every))
+    value, size = webp.many_codes(row, lengths, len(every))
+    parts, bits, parts_of_code = webp.many_code_parts(row, symbol, lengths, np.array([len(c) for c in every]))
+    ends = np.cumsum(parts_of_code)
+    for k, c in enumerate(every):
+        want = webp.code_lengths(c)
+        mine = row == k
+        assert [want[s] for s in symbol[mine]] == lengths[mine].tolist()
+        codes = webp.canonical(want)
+        assert [codes[s] for s in symbol[mine].tolist()] == list(zip(value[mine].tolist(), size[mine].tolist()))
+        own = slice(ends[k] - parts_of_code[k], ends[k])
+        assert webp.joined(list(zip(parts[own].tolist(), bits[own].tolist()))) == webp.joined(webp.code_parts(want))
