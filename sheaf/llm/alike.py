@@ -321,18 +321,25 @@ def close_pairs(rows: DataFrame) -> DataFrame:
 
 
 def led(members: DataFrame) -> DataFrame:
-    """token, sid, n of the second order's buckets in which a set meets leaders."""
+    """token, sid, n and leaders of the second order's buckets in which a set meets leaders.
+
+    All rounds' leaders come from one aggregate: a plan with an aggregate and a join for each round took the
+    driver some 200 MB.
+    """
     every = F.array_sort(F.collect_list(F.struct(F.xxhash64("token").alias("h"), "token")))
     few = members.filter("level = 1").groupBy("sid", "n").agg(F.slice(every, 1, LEADS).alias("few"))
-    return stage(few.select(F.explode("few.token").alias("token"), "sid", "n"), "alike-led")
+    own = stage(few.select(F.explode("few.token").alias("token"), "sid", "n"), "alike-led")
+    # no two sets have the same hash of a round, so both columns are the same leader's
+    least = [[F.min_by(c, F.xxhash64("sid", F.lit(k))).alias(c) for c in ("sid", "n")] for k in range(ROUNDS)]
+    leaders = own.groupBy("token").agg(F.array(*[F.struct(*of) for of in least]).alias("leaders"))
+    return stage(own.join(stage(leaders, "alike-leaders"), "token"), "alike-led")
 
 
 def leader_pairs(members: DataFrame, k: int) -> DataFrame:
-    """Each set of a bucket with the bucket's k-th leader."""
-    leader = F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(k))).alias("b")
-    led = members.groupBy("token").agg(leader)
-    pairs = members.alias("a").join(led, "token").filter((F.col("a.sid") != F.col("b.sid")) & sizes_fit("a", "b"))
-    return pairs.select(F.col("a.sid").alias("p"), F.col("b.sid").alias("q")).distinct()
+    """Each set of a bucket with the bucket's k-th leader, as often as both share buckets."""
+    met = members.select(F.struct("sid", "n").alias("a"), F.col("leaders")[k].alias("b"))
+    pairs = met.filter((F.col("a.sid") != F.col("b.sid")) & sizes_fit("a", "b"))
+    return pairs.select(F.col("a.sid").alias("p"), F.col("b.sid").alias("q"))
 
 
 def rest_pairs(members: DataFrame, found: DataFrame) -> DataFrame:

@@ -82,15 +82,16 @@ def select_features(samples: list[np.ndarray], labels: np.ndarray) -> np.ndarray
     """Buckets whose presence goes with the label, by the z score of their smoothed log odds."""
     pos = int(labels.sum())
     neg = len(labels) - pos
-    flat = np.concatenate(samples)
-    of = np.repeat(labels, [len(s) for s in samples])
-    a = np.bincount(flat[of == 1], minlength=BUCKETS) + 0.5
-    b = np.bincount(flat[of == 0], minlength=BUCKETS) + 0.5
+    # text by text and for the buckets that can be kept alone, so that the driver holds no copies of the sample
+    held = np.zeros((2, BUCKETS), np.int32)
+    for s, y in zip(samples, labels):
+        np.add.at(held[int(y)], s, 1)
+    often = np.flatnonzero(held[0] + held[1] >= MIN_DF)
+    a, b = held[1, often] + 0.5, held[0, often] + 0.5
     odds = np.log(a / (pos + 1 - a).clip(0.5)) - np.log(b / (neg + 1 - b).clip(0.5))
     z = odds / np.sqrt(1 / a + 1 / (pos + 1 - a).clip(0.5) + 1 / b + 1 / (neg + 1 - b).clip(0.5))
-    z[a + b - 1 < MIN_DF] = 0
     best = np.argsort(-np.abs(z), kind="stable")[:MAX_FEATURES]
-    return np.sort(best[np.abs(z[best]) >= MIN_Z])
+    return often[np.sort(best[np.abs(z[best]) >= MIN_Z])]
 
 
 def fit(samples: list[np.ndarray], labels: np.ndarray, steps: int = 200, rate: float = 0.05, l2: float = 2e-4) -> Machine:
@@ -105,6 +106,7 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, steps: int = 200, rate: f
     lookup[kept] = np.arange(len(kept))
     rows = [x[x >= 0] for x in (lookup[s] for s in samples)]
     flat, doc = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
+    del rows
     m = len(kept)
     theta = np.concatenate(([bias], np.zeros(m), np.random.default_rng(0).normal(0, 0.01, m * FACTORS)))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
@@ -143,10 +145,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
 
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     terms = with_results(rows, ("doc_id", "toxic"), "terms binary", start)
-    got = terms.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms")).orderBy("doc_id").collect()
-    samples = [np.frombuffer(bytes(r["terms"]), dtype="<i4") for r in got]
-    marks = np.array([float(r["toxic"] > 0) for r in got])
+    got = terms.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms")).orderBy("doc_id").toArrow()
+    samples = [np.frombuffer(x, dtype="<i4") for x in got.column("terms").to_pylist()]
+    marks = np.array([float(x > 0) for x in got.column("toxic").to_pylist()])
     del got
+    give_back()
     machine = fit(samples, marks)
     del samples
     give_back()

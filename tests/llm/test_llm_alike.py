@@ -101,3 +101,22 @@ def test_leaders_are_met_by_sets_not_by_shingles(spark, monkeypatch):
     monkeypatch.setattr(alike, "leader_pairs", lambda members, k: met.append(members) or pairs(members, k))
     assert [x["doc_id"] for x in alike.keep_one(docs).collect()] == [0]
     assert len(met) == alike.ROUNDS and 0 < met[0].count() <= 8 * len(texts)
+
+
+def test_leaders_of_all_rounds_come_from_one_aggregate(spark):
+    r = random.Random(6)
+    of = {s: (r.randrange(90, 130), r.sample(range(9), 3)) for s in range(-30, 30)}
+    rows = [(1, t, s, n, None) for s, (n, tokens) in of.items() for t in tokens]
+    members = spark.createDataFrame(rows, "level int, token long, sid long, n int, bits array<long>").repartition(3)
+    hot, buckets = alike.led(members), {}
+    for s, (_, tokens) in of.items():
+        for t in tokens:
+            buckets.setdefault(t, []).append(s)
+    for k in range(alike.ROUNDS):
+        hashes = {x["id"]: x["h"] for x in spark.range(-30, 30).select("id", F.xxhash64("id", F.lit(k)).alias("h")).collect()}
+        pairs = {(s, min(b, key=hashes.get)) for b in buckets.values() for s in b}
+        expected = {(s, q) for s, q in pairs if s != q and 5 * min(of[s][0], of[q][0]) >= 4 * max(of[s][0], of[q][0])}
+        made = alike.leader_pairs(hot, k)
+        assert {(x["p"], x["q"]) for x in made.collect()} == expected
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan  # else the driver plans and runs both ROUNDS times at once

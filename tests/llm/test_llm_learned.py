@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 
+import numpy as np
 import zstandard
 from pyspark.sql import functions as F
 
@@ -44,6 +46,25 @@ def test_scores_equal_all_pairs_written_out(spark):
             assert (r["score"] >= toxicity.THRESHOLD) == bad(r["doc_id"])
 
 
+def test_terms_are_selected_without_copies_of_the_sample():
+    r = np.random.default_rng(3)
+    labels = (r.random(500) < 0.3).astype(float)
+    samples = [np.unique(np.concatenate((r.integers(0, 200, 60), r.integers(0, toxicity.BUCKETS, 100), np.arange(300, 310)[: int(10 * y)]))).astype("<i4") for y in labels]
+    tracemalloc.start()
+    kept = toxicity.select_features(samples, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    expected, marked = [], int(labels.sum())
+    for x in np.unique(np.concatenate(samples)):
+        held = [int(sum(x in s for s, y in zip(samples, labels) if y == mark)) for mark in (1, 0)] if x < 310 else [0, 0]
+        a, b = held[0] + 0.5, held[1] + 0.5
+        c, d = max(0.5, marked + 1 - a), max(0.5, len(labels) - marked + 1 - b)
+        if sum(held) >= toxicity.MIN_DF and abs(math.log(a / c) - math.log(b / d)) >= toxicity.MIN_Z * math.sqrt(1 / a + 1 / b + 1 / c + 1 / d):
+            expected.append(int(x))
+    assert kept.tolist() == expected and set(range(300, 310)) <= set(expected)
+    assert most < 24 << 20
+
+
 def test_repeated_labelled_rows_are_learned_from_once(spark):
     docs = spark.createDataFrame([(i, prose("en", 5, i)) for i in range(40)] + [(1, f"again {k}") for k in range(500)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
