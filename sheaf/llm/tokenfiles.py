@@ -213,7 +213,8 @@ def part_offsets(files: DataFrame) -> dict[int, int]:
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone."""
     files = spark.read.schema(SCHEMA).parquet(path)
-    ids = F.conv(F.hex(F.reverse(F.substring("payload", 17, 8))), 16, 10).cast("long")
+    low_first = F.hex(F.substring("payload", 17, 8))  # turned round by bytes: F.reverse takes them for characters
+    ids = F.conv(F.concat(*[F.substring(low_first, at, 2) for at in range(15, 0, -2)]), 16, 10).cast("long")
     offsets = part_offsets(files.select("part", (F.col("first") + ids).alias("end")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,6 +91,14 @@ def test_token_files(spark):
     assert tokenfiles.read_token_files(spark, path).count() == 0
 
 
+def test_parts_of_any_size_are_added_up(spark):
+    sizes, path = [200, 3, 0xA9C3, 0x10F0C2, 1], stage_path(spark, "test-sizes")
+    rows = [(p, 0, 0, np.array([p], "<i8").tobytes(), 0, tokenfiles.encode_file([np.zeros(n, "<u4")])) for p, n in enumerate(sizes)]
+    spark.createDataFrame(rows, tokenfiles.SCHEMA).write.parquet(path)
+    got = sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in tokenfiles.read_token_files(spark, path).collect())
+    assert got == [(p, sum(sizes[:p]), n) for p, n in enumerate(sizes)]
+
+
 def best_fit(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):
