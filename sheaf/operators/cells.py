@@ -15,9 +15,12 @@ AMBIGUOUS, SETTLED = C.DATE_CONFIDENCE["open"], C.DATE_CONFIDENCE["settled"]
 
 
 def first_candidates(candidates: DataFrame, labels: DataFrame) -> DataFrame:
-    """The first candidate of each (document, field). labels: kind, label, field."""
+    """The first candidate of each (document, field). labels: kind, label, field.
+
+    Candidates of one ``ord`` stand in the order of a column ``place``, where they have one.
+    """
     met = candidates.join(labels, ["kind", "label"])
-    order = Window.partitionBy("doc_id", "field").orderBy("ord")
+    order = Window.partitionBy("doc_id", "field").orderBy(F.asc_nulls_last("ord"), *[c for c in ("place",) if c in candidates.columns])
     return met.withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k")
 
 

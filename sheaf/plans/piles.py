@@ -46,7 +46,10 @@ def order_pile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Field candidates drawn from line items: a label per status, a position per quantity and price."""
+    """Field candidates drawn from line items: a label per status, a position per quantity and price.
+
+    ``place`` is a line's place in the table, for line numbers are not unique in an order.
+    """
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.lit(0).alias("kind"),
@@ -60,4 +63,5 @@ def line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(595.0).alias("page_width"),
         F.lit(842.0).alias("page_height"),
         F.lit(0.5).alias("confidence"),
+        F.struct("_metadata.file_path", "_metadata.row_index").alias("place"),
     )
