@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from sheaf import constants as C
 from sheaf.functions.values import date_proofs, resolve_date_style, with_value
@@ -54,11 +55,19 @@ def date_styles(cells: DataFrame, by: list[str], raw: str = "raw") -> DataFrame:
     return counted.select(*by, style.alias("style"), evidence.alias("evidence"), "dmy", "mdy")
 
 
+def first_seen(cells: DataFrame, order: list[str]) -> Column:
+    """The least of the columns ``order``, as an aggregate.
+
+    A single number stays one: a struct won't go into the rows of a hash table, and each task would sort its cells.
+    """
+    one = len(order) == 1 and isinstance(cells.schema[order[0]].dataType, NumericType)
+    return F.min(order[0] if one else F.struct(*order))
+
+
 def majority_types(cells: DataFrame, by: list[str], order: list[str], raw: str = "raw") -> DataFrame:
     """``by``, type: the most frequent type of each group's values; on ties the one that comes first."""
     kinds = with_value(cells.filter(F.col(raw).isNotNull()), F.col(raw), "__v")
-    kinds = kinds.select(*by, F.struct(*order).alias("seen"), F.col("__v.type").alias("type"))
-    counts = kinds.groupBy(*by, "type").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen"))
+    counts = kinds.groupBy(*by, F.col("__v.type").alias("type")).agg(F.count(F.lit(1)).alias("n"), first_seen(cells, order).alias("seen"))
     return counts.groupBy(*by).agg(F.min_by("type", F.struct((-F.col("n")).alias("n"), "seen")).alias("type"))
 
 
@@ -74,7 +83,7 @@ def canonical(cells: DataFrame, order: list[str], by: tuple[str, ...] = ("field"
     typed = stage(with_value(keyed, F.col("__given"), "__v", proof="__proof"), "typed")
     groups = [*by, "__label"]
     counts = typed.filter(F.col("__given").isNotNull()).groupBy(*groups, F.col("__v.type").alias("type")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("seen"),
+        F.count(F.lit(1)).alias("n"), first_seen(cells, order).alias("seen"),
         F.count_if(F.col("__proof") == "dmy").alias("dmy"), F.count_if(F.col("__proof") == "mdy").alias("mdy"),
     )
     facts = counts.groupBy(*groups).agg(

@@ -145,9 +145,10 @@ def apply_batch(current: DataFrame, approved: DataFrame, seq: int) -> DataFrame:
 def queue(cells: DataFrame, fields: DataFrame, everything: bool = False) -> DataFrame:
     """Cells to look at, least certain first: of included fields, unreviewed and below the bar.
 
-    fields: field, position, included.
+    fields: field, position, included. They are a pile's vocabulary and go to every task: dealt out by field,
+    all cells of one would come to one task.
     """
-    joined = cells.join(fields.filter("included").select("field", "position"), "field")
+    joined = cells.join(F.broadcast(fields.filter("included").select("field", "position")), "field")
     return (joined if everything else joined.filter(needs_review())).orderBy("confidence", "document", "position")
 
 
@@ -159,7 +160,7 @@ def summary(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def summary_of_fields(cells: DataFrame, fields: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``summary`` over the cells of included fields alone."""
-    return summary(cells.join(fields.filter("included").select("field"), "field", "left_semi"), by)
+    return summary(cells.join(F.broadcast(fields.filter("included").select("field")), "field", "left_semi"), by)
 
 
 def patch_fields(fields: DataFrame, events: DataFrame) -> DataFrame:

@@ -37,3 +37,19 @@ def test_last_event_wins(spark):
     got = {r["cell_id"]: tuple(r)[1:] for r in review.current_cells(base, events).select("cell_id", "status", "confidence", "corrected_to").collect()}
     assert got == {"a": ("corrected", 0.95, "x"), "b": ("empty", 0.0, None)}
     assert F is not None
+
+
+def test_queue_deals_no_cells_out_by_field(spark):
+    """All cells of a field would come to one task."""
+    from pyspark.sql import functions as F
+
+    from sheaf.operators import cells as cell_ops
+
+    cells = spark.createDataFrame([(f"d{i}", "date", 0.1 * i, "unreviewed") for i in range(9)], "document string, field string, confidence double, status string")
+    fields = spark.createDataFrame([("date", 0, True), ("total", 1, False)], "field string, position int, included boolean")
+    for made in (review.queue(cells, fields), review.summary_of_fields(cells, fields)):
+        assert "hashpartitioning(field" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [r["document"] for r in review.queue(cells, fields).collect()] == [f"d{i}" for i in range(8)]
+    # what is seen first is kept in a hash table, not in a sort of each task's cells
+    seen = cells.withColumn("n", F.length("document")).groupBy("field").agg(cell_ops.first_seen(cells.withColumn("n", F.length("document")), ["n"]))
+    assert "SortAggregate" not in seen._jdf.queryExecution().executedPlan().toString()
