@@ -18,8 +18,22 @@ from sheaf.functions.labels import label_tokens, ordinal, token_similarity
 from sheaf.functions.values import shape_of
 
 
+#: Candidates that one task sorts, about.
+TASK_ROWS = 250_000
+
+
+def by_document(candidates: DataFrame) -> DataFrame:
+    """Candidates dealt out by document, to more tasks the more there are.
+
+    The tasks of the session's own setting grow with the input, and every sort by document, label or shape holds
+    a whole task's rows.
+    """
+    return candidates.repartition(max(1, -(-candidates.count() // TASK_ROWS)), "doc_id")
+
+
 def ranked(candidates: DataFrame) -> DataFrame:
     """Adds ``rank`` (from 0): a candidate's place among its document's candidates of the same type, by y, then x."""
+    candidates = by_document(candidates)
     w = Window.partitionBy("kind", "doc_id", "type").orderBy("y", "x", "ord")
     return candidates.withColumn("rank", F.row_number().over(w) - 1)
 

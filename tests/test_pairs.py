@@ -66,3 +66,13 @@ def test_pair_scores_equal_a_plain_twin(spark):
         q = found[(a["kind"], a["label"], b["label"])]
         score, blocked, why = plain(a, b, (a["kind"], *sorted((a["label"], b["label"]))) in met)
         assert q["score"] == pytest.approx(score, abs=1e-12) and (q["blocked"], q["reasons"]) == (blocked, why)
+
+
+def test_more_candidates_go_to_more_tasks(spark, monkeypatch):
+    """Each sort of the statistics holds a whole task's rows."""
+    rows = [(0, f"d{i}", k, w, "v 1", "text", 1.0 * k, 2.0, 8.0, 8.0) for i in range(50) for k, w in enumerate(WORDS)]
+    c = spark.createDataFrame(rows, "kind int, doc_id string, ord int, label string, value string, type string, x double, y double, page_width double, page_height double")
+    whole = {r["label"]: r for r in reconcile.label_stats(c).collect()}
+    monkeypatch.setattr(reconcile, "TASK_ROWS", 10)
+    assert "hashpartitioning(doc_id" in (plan := reconcile.ranked(c)._jdf.queryExecution().executedPlan().toString()) and ", 40)" in plan
+    assert {r["label"]: r for r in reconcile.label_stats(c).collect()} == whole
