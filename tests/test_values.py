@@ -67,3 +67,16 @@ def test_column_form_equals_the_plain_form(spark, texts):
     df = values.with_value(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string"), F.col("raw"))
     got = {r["i"]: (r["value"]["type"], r["value"]["confidence"]) for r in df.collect()}
     assert got == {i: scalars.type_of(t) for i, t in enumerate(texts)}
+
+
+def test_typing_stays_small_enough_for_the_compiler(spark, capsys):
+    """The JVM interprets methods of more than 8,000 bytes."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from sheaf.functions import values
+
+    values.with_value(spark.range(9).select(F.col("id").cast("string").alias("raw")), F.col("raw"), "v", proof="p").explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000, sizes
